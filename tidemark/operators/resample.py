@@ -40,7 +40,8 @@ def fill_bins(
     order = Window.partitionBy(*keys).orderBy(column)
     step = F.expr(STEPS[freq])
     last = F.coalesce(F.lead(column).over(order) - step, F.col(column))
-    spread = bins.withColumn("_slot", F.explode(F.sequence(F.col(column), last, step)))
+    spread = bins.withColumn("_last", last)
+    spread = spread.withColumn("_slot", F.explode(F.sequence(F.col(column), F.col("_last"), step)))
     real = F.col("_slot") == F.col(column)
     out = []
     for name in bins.columns:
