@@ -43,71 +43,27 @@ def submitted_literal(raw_arguments: Column, value: Column) -> Column:
     )
 
 
-def _strip_zeros(text: Column) -> Column:
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+\z", "")).otherwise(text)
-
-
-def _place_point(digits: Column, exponent: Column) -> Column:
-    """Plain decimal notation of d.ddd x 10^exponent given its digits without the point."""
-    size = F.length(digits)
-    fraction = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    whole = F.rpad(digits, F.greatest(exponent + 1, size), F.lit("0"))
-    mixed = F.concat(
-        F.substring(whole, F.lit(1), exponent + 1), F.lit("."), F.substring(whole, exponent + 2, size)
-    )
-    return F.when(exponent < 0, fraction).otherwise(mixed)
-
-
-def _special(x: Column) -> Column:
-    return (
-        F.when(F.isnan(x), F.lit("nan"))
-        .when(x == float("inf"), F.lit("inf"))
-        .when(x == float("-inf"), F.lit("-inf"))
-    )
+def _lower_exponent(sci: Column) -> Column:
+    return F.replace(F.lower(sci), F.lit("infinity"), F.lit("inf"))
 
 
 def general_format(x: Column, digits: int) -> Column:
     """``%g`` style: ``digits`` significant digits, trailing zeros dropped, exponent if needed."""
-    x = x.cast("double")
-    sci = F.format_string(f"%.{digits - 1}e", F.abs(x))
-    mantissa = F.split_part(sci, F.lit("e"), F.lit(1))
-    exponent = F.split_part(sci, F.lit("e"), F.lit(2)).try_cast("int")
-    plain = _strip_zeros(_place_point(F.regexp_replace(mantissa, r"\.", ""), exponent))
-    power = F.concat(
-        F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    power = F.when(
-        F.abs(exponent) > 99,
-        F.concat(F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(exponent).cast("string")),
-    ).otherwise(power)
-    scientific = F.concat(_strip_zeros(mantissa), F.lit("e"), power)
-    body = F.when((exponent >= -4) & (exponent < digits), plain).otherwise(scientific)
-    sign = F.when((x < 0), F.lit("-")).otherwise(F.lit(""))
-    return F.coalesce(_special(x), F.concat(sign, body))
+    sci = F.format_string(f"%.{digits - 1}e", x.cast("double"))
+    rounded = sci.try_cast("double")
+    plain = F.regexp_replace(rounded.try_cast("decimal(38,12)").cast("string"), r"\.?0+\z", "")
+    in_plain_range = F.abs(rounded).between(1e-4, float(10**digits) * (1 - 1e-15)) | (rounded == 0)
+    return F.when(in_plain_range, plain).otherwise(_lower_exponent(F.regexp_replace(sci, r"\.?0+e", "e")))
 
 
 def float_text(x: Column) -> Column:
     """Shortest text of a double with at least one decimal; exponent only from 1e16 or below 1e-4."""
-    text = F.abs(x).cast("string")
-    mantissa = F.split_part(text, F.lit("E"), F.lit(1))
-    exponent = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), r"(?<=.)0+\z", "")
-    plain = _place_point(digits, exponent)
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    scientific = F.concat(
-        _strip_zeros(mantissa),
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(exponent).cast("string"),
-    )
-    body = (
-        F.when(~text.contains("E"), text)
-        .when((exponent >= -4) & (exponent < 16), plain)
-        .otherwise(scientific)
-    )
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.coalesce(_special(x), F.concat(sign, body))
+    plain = F.regexp_replace(x.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+\z", "$1")
+    signed = F.regexp_replace(x.cast("string"), r"E(?=\d)", "E+")
+    padded = F.regexp_replace(signed, r"(?<=E[+-])(\d)\z", "0$1")
+    scientific = _lower_exponent(F.regexp_replace(padded, r"(\.0)?E", "e"))
+    in_plain_range = ((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16)) | (x == 0)
+    return F.when(in_plain_range, plain).otherwise(scientific)
 
 
 def number_key(x: Column, tolerance: Column) -> Column:

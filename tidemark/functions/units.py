@@ -62,8 +62,15 @@ def _aliases() -> dict[str, str]:
 
 
 def _lookup(table: dict, key: Column) -> Column:
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    """Value of a key in a fixed table.
+
+    The table is one text literal that the optimizer folds into a constant map, which keeps the
+    expression small wherever it is used.
+    """
+    pairs = ";".join(f"{k}={v!r}" if isinstance(v, float) else f"{k}={v}" for k, v in table.items())
+    kind = "double" if all(isinstance(v, float) for v in table.values()) else "string"
+    constant = F.str_to_map(F.lit(pairs), F.lit(";"), F.lit("=")).cast(f"map<string,{kind}>")
+    return F.try_element_at(constant, key)
 
 
 def alias_table(spark: SparkSession) -> DataFrame:

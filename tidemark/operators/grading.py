@@ -3,7 +3,8 @@
 ``grade`` is a set of column expressions over answers already joined with their questions.  Expected
 columns: ``expected`` (text form) and ``expected_is_number``; ``answer_value`` (text form, NULL when
 nothing was submitted) and ``answer_is_number``; ``answer_unit``; ``unit`` and ``tolerance`` of the
-question.
+question.  ``with_grading_inputs`` derives what several rules share (the answer as number and as text,
+normalised units, canonical texts) in projections of their own, so no rule repeats them.
 """
 
 from __future__ import annotations
@@ -12,12 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import answer_key, float_text, general_format, parse_number
-from ..functions.text import NOT_ANSWERABLE, squeeze, strip, text_matches
+from ..functions.text import NOT_ANSWERABLE, canonical_text, squeeze, strip
 from ..functions.units import COUNT_UNITS, COUNT_WORDS, canonical_unit, convert_canonical
 
-VERDICT = "correct boolean, reason string, got string, got_number double, unit_converted boolean"
-
-
 def _verdict(
     correct: Column, reason: Column, got: Column | None = None, number: Column | None = None, converted: Column | None = None
 ) -> Column:
@@ -30,69 +28,64 @@ def _verdict(
     )
 
 
-def answer_number() -> Column:
-    """The answer as a number: numbers as they are, texts if they are entirely a number."""
-    direct = F.col("answer_value").try_cast("double")
-    return F.when(F.col("answer_is_number"), direct).otherwise(parse_number(F.col("answer_value")))
+INPUTS = ("_number", "_truth", "_text", "_given", "_wanted", "_declined", "_same_text", "_converted")
 
 
-def answer_text() -> Column:
-    """The answer as a text; a number in its shortest decimal form."""
-    return F.when(F.col("answer_is_number"), float_text(F.col("answer_value").try_cast("double"))).otherwise(
-        F.col("answer_value")
+def with_grading_inputs(df: DataFrame) -> DataFrame:
+    """Add the shared inputs of the rules; ``drop(*INPUTS)`` removes them."""
+    value, is_number = F.col("answer_value"), F.col("answer_is_number")
+    direct = value.try_cast("double")
+    e, g = F.col("_e"), F.col("_g")
+    return (
+        df.withColumns(
+            {
+                # A number as it is, a text if it is entirely a number.
+                "_number": F.when(is_number, direct).otherwise(parse_number(value)),
+                "_truth": parse_number(F.col("expected")),
+                "_given": canonical_unit(F.col("answer_unit")),
+                "_wanted": canonical_unit(F.col("unit")),
+                # A text that contains the abstention phrase.
+                "_declined": ~is_number & F.lower(strip(value)).contains(NOT_ANSWERABLE),
+            }
+        )
+        .withColumns(
+            {
+                "_text": F.when(is_number, float_text(F.col("_number"))).otherwise(value),
+                "_converted": convert_canonical(F.col("_number"), F.col("_given"), F.col("_wanted")),
+            }
+        )
+        .withColumns({"_e": canonical_text(F.col("expected")), "_g": canonical_text(F.col("_text"))})
+        .withColumn("_same_text", (e == g) | (e.rlike(r"^\d{4}(-\d{2})?\z") & g.startswith(e)))
+        .drop("_e", "_g")
     )
 
 
-def declined() -> Column:
-    """A text that contains the abstention phrase."""
-    text = F.lower(strip(F.col("answer_value")))
-    return ~F.col("answer_is_number") & text.contains(NOT_ANSWERABLE)
-
-
 def grade_declined() -> Column:
     """Verdict of unanswerable questions and of abstentions; NULL where neither applies."""
     unanswerable = ~F.col("expected_is_number") & (F.col("expected") == NOT_ANSWERABLE)
-    number = F.when(F.col("answer_is_number"), F.col("answer_value").try_cast("double"))
-    return (
-        F.when(unanswerable & declined(), _verdict(F.lit(True), F.lit("correctly declined"), answer_text(), number))
-        .when(
-            unanswerable,
-            _verdict(F.lit(False), F.lit("answered a question the dataset cannot answer"), answer_text(), number),
-        )
-        .when(declined(), _verdict(F.lit(False), F.lit("declined an answerable question"), answer_text(), number))
+    declined = F.col("_declined")
+    reason = (
+        F.when(unanswerable & declined, F.lit("correctly declined"))
+        .when(unanswerable, F.lit("answered a question the dataset cannot answer"))
+        .otherwise(F.lit("declined an answerable question"))
     )
+    number = F.when(F.col("answer_is_number"), F.col("_number"))
+    return F.when(unanswerable | declined, _verdict(unanswerable & declined, reason, F.col("_text"), number))
 
 
 def grade_text() -> Column:
     """Verdict against a text truth: as numbers if both sides are numeric, else by canonical form."""
-    truth, number = parse_number(F.col("expected")), answer_number()
-    said = F.concat(F.lit("expected "), F.col("expected"), F.lit(", got "))
-    close = F.abs(number - truth) <= F.col("tolerance")
-    as_numbers = _verdict(
-        close,
-        F.when(close, F.lit("matches")).otherwise(F.concat(said, general_format(number, 6))),
-        float_text(number),
-        number,
-    )
-    same = text_matches(F.col("expected"), answer_text())
-    as_texts = _verdict(
-        same, F.when(same, F.lit("matches")).otherwise(F.concat(said, answer_text())), answer_text()
-    )
-    return F.when(truth.isNotNull() & number.isNotNull(), as_numbers).otherwise(as_texts)
-
-
-def count_unit_accepted() -> Column:
-    """A count may carry no unit, the unit of the question, or a word for records."""
-    return (
-        F.col("answer_unit").isNull()
-        | F.coalesce(canonical_unit(F.col("answer_unit")) == F.col("unit"), F.lit(False))
-        | squeeze(F.col("answer_unit")).isin(*COUNT_WORDS)
-    )
+    number = F.col("_number")
+    numeric = F.col("_truth").isNotNull() & number.isNotNull()
+    right = F.when(numeric, F.abs(number - F.col("_truth")) <= F.col("tolerance")).otherwise(F.col("_same_text"))
+    shown = F.when(numeric, general_format(number, 6)).otherwise(F.col("_text"))
+    reason = F.when(right, F.lit("matches")).otherwise(F.concat(F.lit("expected "), F.col("expected"), F.lit(", got "), shown))
+    got = F.when(numeric, float_text(number)).otherwise(F.col("_text"))
+    return _verdict(right, reason, got, F.when(numeric, number))
 
 
 def _compare(number: Column, converted: Column) -> Column:
-    truth = F.col("expected").try_cast("double")
-    difference = F.abs(number - truth)
+    difference = F.abs(number - F.col("expected").try_cast("double"))
     finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
     close = finite & (difference <= F.col("tolerance"))
     off = F.concat(
@@ -105,38 +98,45 @@ def _compare(number: Column, converted: Column) -> Column:
     return _verdict(close, reason, float_text(number), number, converted)
 
 
+def _unit_refused(verb: str, wanted: Column) -> Column:
+    reason = F.concat(F.lit("unit '"), F.col("answer_unit"), F.lit(f"' {verb} "), wanted)
+    return _verdict(F.lit(False), reason, float_text(F.col("_number")), F.col("_number"))
+
+
 def grade_count() -> Column:
-    """Verdict of a count: the label has to fit, the value is never rescaled."""
-    number = answer_number()
-    wrong = F.concat(F.lit("unit '"), F.col("answer_unit"), F.lit("' does not count "), F.col("unit"))
-    return F.when(count_unit_accepted(), _compare(number, F.lit(False))).otherwise(
-        _verdict(F.lit(False), wrong, float_text(number), number)
+    """Verdict of a count: no unit, the unit of the question, or a word for records; never rescaled."""
+    accepted = (
+        F.col("answer_unit").isNull()
+        | F.coalesce(F.col("_given") == F.col("unit"), F.lit(False))
+        | squeeze(F.col("answer_unit")).isin(*COUNT_WORDS)
+    )
+    return F.when(accepted, _compare(F.col("_number"), F.lit(False))).otherwise(
+        _unit_refused("does not count", F.col("unit"))
     )
 
 
+def _differs() -> Column:
+    """Both sides name a unit and the units are not the same."""
+    named = F.col("unit").isNotNull() & F.col("answer_unit").isNotNull()
+    return named & ~F.col("_given").eqNullSafe(F.col("_wanted"))
+
+
 def grade_numeric() -> Column:
     """Verdict of a measured value: converted to the unit of the question, then within tolerance."""
-    number = answer_number()
-    given, wanted = canonical_unit(F.col("answer_unit")), canonical_unit(F.col("unit"))
-    has_units = F.col("unit").isNotNull() & F.col("answer_unit").isNotNull()
-    differs = has_units & ~given.eqNullSafe(wanted)
-    converted = convert_canonical(number, given, wanted)
-    wrong = F.concat(F.lit("unit '"), F.col("answer_unit"), F.lit("' is not convertible to '"), F.col("unit"), F.lit("'"))
-    return (
-        F.when(~differs, _compare(number, F.lit(False)))
-        .when(converted.isNull(), _verdict(F.lit(False), wrong, float_text(number), number))
-        .otherwise(_compare(converted, F.lit(True)))
-    )
+    refused = _unit_refused("is not convertible to", F.concat(F.lit("'"), F.col("unit"), F.lit("'")))
+    value = F.when(_differs(), F.col("_converted")).otherwise(F.col("_number"))
+    return F.when(_differs() & F.col("_converted").isNull(), refused).otherwise(_compare(value, _differs()))
 
 
 def grade() -> Column:
-    """The whole decision as one expression."""
+    """The whole decision; needs ``with_grading_inputs``."""
     said = F.concat(F.lit("expected a number, got '"), F.col("answer_value"), F.lit("'"))
+    unanswerable = ~F.col("expected_is_number") & (F.col("expected") == NOT_ANSWERABLE)
     return (
         F.when(F.col("answer_value").isNull(), _verdict(F.lit(False), F.lit("no answer was submitted")))
-        .when(grade_declined().isNotNull(), grade_declined())
+        .when(unanswerable | F.col("_declined"), grade_declined())
         .when(~F.col("expected_is_number"), grade_text())
-        .when(answer_number().isNull(), _verdict(F.lit(False), said, F.col("answer_value")))
+        .when(F.col("_number").isNull(), _verdict(F.lit(False), said, F.col("answer_value")))
         .when(F.col("unit").isin(*COUNT_UNITS), grade_count())
         .otherwise(grade_numeric())
     )
@@ -144,7 +144,7 @@ def grade() -> Column:
 
 def grade_runs(df: DataFrame, name: str = "verdict") -> DataFrame:
     """Add the verdict struct; a projection without shuffle."""
-    return df.withColumn(name, grade())
+    return with_grading_inputs(df).withColumn(name, grade()).drop(*INPUTS)
 
 
 def join_questions(runs: DataFrame, questions: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def regrade(runs: DataFrame, questions: DataFrame) -> DataFrame:
     )
     unit_ok = F.col("answer_unit").isNull() | (F.length(strip(F.col("answer_unit"))) > 0)
     applies = F.col("question_known").isNotNull() & F.col("answer_value").isNotNull() & text_ok & unit_ok
-    graded = joined.withColumn("_applies", F.coalesce(applies, F.lit(False))).withColumn("_v", grade())
+    graded = grade_runs(joined.withColumn("_applies", F.coalesce(applies, F.lit(False))), "_v")
     out = {}
     for name in ("correct", "reason", "got", "got_number", "unit_converted"):
         if name in runs.columns and name != "got_number":

@@ -95,22 +95,30 @@ def with_interval(df: DataFrame, value: str, literal: str) -> DataFrame:
     most as wide as the interval, which therefore covers the end of one cell, at most one whole
     cell, and the start of another.
     """
-    v, d = F.col(value), literal_decimals(F.col(literal))
+    # Each step is a projection of its own: nested into one expression the bounds would be repeated
+    # many times over.
     slack = 1e-9
-    relative = F.when(d.isNull(), F.lit(1e-6 + slack)).otherwise(F.lit(slack))
-    fixed = F.when(d.isNull(), F.lit(0.0)).otherwise(0.5 * F.pow(F.lit(10.0), -d))
-    below, above = v - fixed, v + fixed
-    lo = F.when(below >= 0, below / (1 + relative)).otherwise(below / (1 - relative))
-    hi = F.when(above >= 0, above / (1 - relative)).otherwise(above / (1 + relative))
     tiny = F.pow(F.lit(2.0), F.lit(-900))  # an interval of width zero happens only for 0e0
-    out = df.withColumn("lo", F.when(hi > lo, lo).otherwise(-tiny)).withColumn(
-        "hi", F.when(hi > lo, hi).otherwise(tiny)
+    v, below, above, relative = F.col(value), F.col("_below"), F.col("_above"), F.col("_relative")
+    lo, hi, width, level = F.col("lo"), F.col("hi"), F.col("_width"), F.col("level")
+    return (
+        df.withColumn("_d", literal_decimals(F.col(literal)))
+        .withColumn("_relative", F.when(F.col("_d").isNull(), F.lit(1e-6 + slack)).otherwise(F.lit(slack)))
+        .withColumn("_fixed", F.when(F.col("_d").isNull(), F.lit(0.0)).otherwise(0.5 * F.pow(F.lit(10.0), -F.col("_d"))))
+        .withColumns({"_below": v - F.col("_fixed"), "_above": v + F.col("_fixed")})
+        .withColumns(
+            {
+                "lo": F.when(below >= 0, below / (1 + relative)).otherwise(below / (1 - relative)),
+                "hi": F.when(above >= 0, above / (1 - relative)).otherwise(above / (1 + relative)),
+            }
+        )
+        .withColumns({"lo": F.when(hi > lo, lo).otherwise(-tiny), "hi": F.when(hi > lo, hi).otherwise(tiny)})
+        .withColumn("_width", hi - lo)
+        .withColumn("level", F.floor(F.log2(width)).cast("int"))
+        # The logarithm may round up: step down when the cell would be wider than the interval.
+        .withColumn("level", F.when(F.pow(F.lit(2.0), level) > width, level - 1).otherwise(level))
+        .drop("_d", "_relative", "_fixed", "_below", "_above", "_width")
     )
-    width = F.col("hi") - F.col("lo")
-    level = F.floor(F.log2(width)).cast("int")
-    # The logarithm may round up: step down when the cell would be wider than the interval.
-    level = F.when(F.pow(F.lit(2.0), level) > width, level - 1).otherwise(level)
-    return out.withColumn("level", level)
 
 
 def provenance_match(
@@ -134,10 +142,10 @@ def provenance_match(
         .groupBy(*run, "level", "cell")
         .agg(F.min("number").alias("least"), F.max("number").alias("most"))
     )
-    first, last = _cell(F.col("lo"), F.col("level")), _cell(F.col("hi"), F.col("level"))
-    span = F.array_distinct(F.array(first, first + 1, last - 1, last))
-    span = F.filter(span, lambda c: (c >= first) & (c <= last))
-    probes = asked.withColumn("cell", F.explode(span))
+    first, last = F.col("_first"), F.col("_last")
+    ends = {"_first": _cell(F.col("lo"), F.col("level")), "_last": _cell(F.col("hi"), F.col("level"))}
+    span = F.array_distinct(F.array(first, F.least(first + 1, last), F.greatest(first, last - 1), last))
+    probes = asked.withColumns(ends).withColumn("cell", F.explode(span)).drop("_first", "_last")
     hits = probes.join(cells, [*run, "level", "cell"]).where(
         # Some number of the cell lies inside when its smallest or its largest does.  A cell that
         # only reaches the start of the interval has its largest inside, and so on.
@@ -195,8 +203,15 @@ def check_type() -> Column:
     )
 
 
+def with_units(df: DataFrame) -> DataFrame:
+    """Add the normalised units the checks read: ``given`` of the answer, ``planned`` of the plan."""
+    return df.withColumns(
+        {"given": normalize_unit(F.col("answer_unit")), "planned": canonical_unit(F.col("planned_unit"))}
+    )
+
+
 def check_unit() -> Column:
-    canonical = canonical_unit(F.col("answer_unit"))
+    canonical = F.col("given.canonical")
     status = (
         F.when(F.col("answer_unit").isNull(), F.lit("skip")).when(canonical.isNull(), F.lit("warn")).otherwise(F.lit("pass"))
     )
@@ -209,7 +224,7 @@ def check_unit() -> Column:
 
 
 def check_range() -> Column:
-    unit = normalize_unit(F.col("answer_unit"))
+    unit = F.col("given")
     value = F.col("answer_value").try_cast("double")
     limit = plausible_limit(unit["canonical"])
     applies = F.col("answer_is_number") & limit.isNotNull() & ~unit["is_rate"]
@@ -249,7 +264,7 @@ def check_silent_nan() -> Column:
 
 def check_plan_unit() -> Column:
     """NULL (no check) unless both the plan and the answer name a unit."""
-    planned, given = canonical_unit(F.col("planned_unit")), canonical_unit(F.col("answer_unit"))
+    planned, given = F.col("planned"), F.col("given.canonical")
     differs = planned.isNotNull() & given.isNotNull() & (planned != given)
     detail = F.concat(F.lit("planner expected "), planned, F.lit(", got "), given)
     check = _check(
@@ -286,7 +301,7 @@ def verify_answers(answers: DataFrame) -> DataFrame:
     checks = F.array_compact(
         F.array(check_type(), check_unit(), check_range(), check_provenance(), check_silent_nan(), check_plan_unit())
     )
-    return answers.withColumn("checks", F.when(abstains(), declined).otherwise(checks)).withColumn(
+    return with_units(answers).withColumn("checks", F.when(abstains(), declined).otherwise(checks)).withColumn(
         "ok", ~F.exists("checks", lambda c: c["status"] == "fail")
     )
 

@@ -113,12 +113,12 @@ DAYS = """SELECT CAST(range AS TIMESTAMP) AS day
 
 @query(
     "write_series_validated",
-    f"""SELECT strftime(day, '%Y-%m-%d') AS day, round(v, 3) AS v, round(s, 2) AS s, coalesce(n, 0) AS n
+    f"""SELECT strftime(day, '%Y-%m-%d') AS day, round(v, 6) AS v, round(s, 2) AS s, coalesce(n, 0) AS n
         FROM ({DAYS}) LEFT JOIN series_d ON time = day""",
 )
 def write_series_validated(t: Tables):
     back = src.read_series(t.spark, stored_series(t) + "/series", SERIES_D)
-    return back.select(F.date_format("time", "yyyy-MM-dd").alias("day"), r("v", 3).alias("v"), r("s", 2).alias("s"), "n")
+    return back.select(F.date_format("time", "yyyy-MM-dd").alias("day"), r("v", 6).alias("v"), r("s", 2).alias("s"), "n")
 
 
 @query(
@@ -291,12 +291,12 @@ def describe_result_column(t: Tables):
 # ------------------------------------------------------------------------------- slices
 @query(
     "period_slice",
-    """SELECT strftime(time, '%Y-%m-%d') AS day, round(v, 3) AS v, n FROM series_d
+    """SELECT strftime(time, '%Y-%m-%d') AS day, round(v, 6) AS v, n FROM series_d
        WHERE time >= TIMESTAMP '1996-02-01' AND time < TIMESTAMP '1996-03-01'""",
 )
 def period_slice(t: Tables):
     rows = S.period_slice(t.series_d, "1996-02")
-    return rows.select(F.date_format("time", "yyyy-MM-dd").alias("day"), r("v", 3).alias("v"), "n")
+    return rows.select(F.date_format("time", "yyyy-MM-dd").alias("day"), r("v", 6).alias("v"), "n")
 
 
 @query(
@@ -465,22 +465,22 @@ FOUR = {
 def resample_orders(t: Tables, freq: str):
     out = R.resample(t.orders_t, freq, FOUR)
     return out.select(
-        R.bin_id(F.col("bin"), freq).alias("bin"), r("mean", 3).alias("mean"), r("total", 2).alias("total"),
+        R.bin_id(F.col("bin"), freq).alias("bin"), r("mean", 6).alias("mean"), r("total", 2).alias("total"),
         r("hi", 2).alias("hi"), r("lo", 2).alias("lo"),
     )
 
 
-@query("resample_daily", resampled("day", "%Y-%m-%d", 3))
+@query("resample_daily", resampled("day", "%Y-%m-%d", 6))
 def resample_daily(t: Tables):
     return resample_orders(t, "day")
 
 
-@query("resample_monthly", resampled("month", "%Y-%m", 3))
+@query("resample_monthly", resampled("month", "%Y-%m", 6))
 def resample_monthly(t: Tables):
     return resample_orders(t, "month")
 
 
-@query("resample_yearly", resampled("year", "%Y", 3))
+@query("resample_yearly", resampled("year", "%Y", 6))
 def resample_yearly(t: Tables):
     return resample_orders(t, "year")
 
@@ -507,7 +507,7 @@ def resample_fill_empty(t: Tables):
           CAST(count(*) FILTER (WHERE lo < 20000) AS BIGINT) AS low_days,
           CAST(count(*) FILTER (WHERE coalesce(total, 0) < 500000) AS BIGINT) AS dry_days,
           CAST(count(*) FILTER (WHERE mean > 250000) AS BIGINT) AS mild_days
-        FROM ({resampled('day', '%Y-%m-%d', 3)})""",
+        FROM ({resampled('day', '%Y-%m-%d', 6)})""",
 )
 def count_days_where(t: Tables):
     days = R.resample(t.orders_t, "day", FOUR)

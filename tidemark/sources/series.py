@@ -92,10 +92,11 @@ def write_series_validated(
 
     Writes ``path/series`` (partitioned by year unless told otherwise) and ``path/manifest``.
     """
-    manifest = build_manifest(df, units, first, last, freq, time)
-    row = manifest.select("problems").first()  # one row, by construction
+    described = build_manifest(df, units, first, last, freq, time)
+    row = described.first()  # one row, by construction
     if row["problems"] is not None:
         raise ValueError("dataset failed validation: " + row["problems"])
+    manifest = df.sparkSession.createDataFrame([row], described.schema)
     stored = df if partition_by else df.withColumn("year", F.year(time))
     by = list(partition_by) or ["year"]
     # Cluster by the partition column and month, so a year is written by twelve tasks, not by all.
