@@ -75,8 +75,9 @@ def _lookup(table: dict, key: Column) -> Column:
 
 def alias_table(spark: SparkSession) -> DataFrame:
     """(alias, canonical, plausible_max): a fixed dimension of about sixty rows."""
-    rows = [(a, u, float(UNITS[u][1])) for a, u in _aliases().items()]
-    return spark.createDataFrame(rows, "alias string, canonical string, plausible_max double")
+    pairs = ";".join(f"{a}={u}" for a, u in _aliases().items())
+    rows = spark.range(1).select(F.explode(F.str_to_map(F.lit(pairs), F.lit(";"), F.lit("="))).alias("alias", "canonical"))
+    return rows.withColumn("plausible_max", plausible_limit(F.col("canonical")))
 
 
 def unit_alias_join(df: DataFrame, unit: str = "unit") -> DataFrame:

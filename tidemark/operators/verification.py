@@ -83,7 +83,7 @@ def collect_evidence(executions: DataFrame, run: Sequence[str]) -> DataFrame:
 def _cell(x: Column, level: Column) -> Column:
     """Index of the cell of width 2^level that holds x; exact, as only the exponent changes."""
     y = x / F.pow(F.lit(2.0), level)
-    return F.when(F.abs(y) < 9.0e15, F.floor(y).cast("double")).otherwise(y)
+    return F.coalesce(y - F.pmod(y, F.lit(1.0)), F.lit(0.0))
 
 
 def with_interval(df: DataFrame, value: str, literal: str) -> DataFrame:
@@ -91,33 +91,28 @@ def with_interval(df: DataFrame, value: str, literal: str) -> DataFrame:
 
     A literal with d decimals allows half a unit of the last place, an exponent literal one part in
     a million of the observed number; both allow one part in a billion of the observed number.
-    Solving those bounds for the observed number gives the interval.  The cells of a level are at
-    most as wide as the interval, which therefore covers the end of one cell, at most one whole
-    cell, and the start of another.
+    Solving those bounds for the observed number gives the interval.  Cells of a level are between a
+    quarter and half as wide as the interval, which therefore touches at most six of them.
     """
-    # Each step is a projection of its own: nested into one expression the bounds would be repeated
-    # many times over.
+    # Never NULL: otherwise the optimizer would derive null filters and repeat these expressions.
     slack = 1e-9
-    tiny = F.pow(F.lit(2.0), F.lit(-900))  # an interval of width zero happens only for 0e0
-    v, below, above, relative = F.col(value), F.col("_below"), F.col("_above"), F.col("_relative")
-    lo, hi, width, level = F.col("lo"), F.col("hi"), F.col("_width"), F.col("level")
+    tiny = 2.0**-900  # an interval of width zero happens only for 0e0
+    half = F.coalesce(0.5 * F.pow(F.lit(10.0), -F.col("_d")), F.lit(0.0))
+    relative = F.when(F.col("_d").isNull(), F.lit(1e-6 + slack)).otherwise(F.lit(slack))
+    below, above, relative_ = F.col("_below"), F.col("_above"), F.col("_relative")
+    zero = F.lit(0.0)
     return (
         df.withColumn("_d", literal_decimals(F.col(literal)))
-        .withColumn("_relative", F.when(F.col("_d").isNull(), F.lit(1e-6 + slack)).otherwise(F.lit(slack)))
-        .withColumn("_fixed", F.when(F.col("_d").isNull(), F.lit(0.0)).otherwise(0.5 * F.pow(F.lit(10.0), -F.col("_d"))))
-        .withColumns({"_below": v - F.col("_fixed"), "_above": v + F.col("_fixed")})
+        .withColumns({"_below": F.col(value) - half, "_above": F.col(value) + half, "_relative": relative})
         .withColumns(
             {
-                "lo": F.when(below >= 0, below / (1 + relative)).otherwise(below / (1 - relative)),
-                "hi": F.when(above >= 0, above / (1 - relative)).otherwise(above / (1 + relative)),
+                "lo": F.coalesce(below / (1 + relative_ * F.signum(below)), zero),
+                "hi": F.coalesce(above / (1 - relative_ * F.signum(above)), zero),
             }
         )
-        .withColumns({"lo": F.when(hi > lo, lo).otherwise(-tiny), "hi": F.when(hi > lo, hi).otherwise(tiny)})
-        .withColumn("_width", hi - lo)
-        .withColumn("level", F.floor(F.log2(width)).cast("int"))
-        # The logarithm may round up: step down when the cell would be wider than the interval.
-        .withColumn("level", F.when(F.pow(F.lit(2.0), level) > width, level - 1).otherwise(level))
-        .drop("_d", "_relative", "_fixed", "_below", "_above", "_width")
+        .withColumn("level", F.floor(F.log2(F.greatest(F.col("hi") - F.col("lo"), F.lit(tiny)))) - 1)
+        .withColumn("level", F.coalesce(F.col("level").cast("int"), F.lit(0)))
+        .drop("_d", "_relative", "_below", "_above")
     )
 
 
@@ -142,10 +137,13 @@ def provenance_match(
         .groupBy(*run, "level", "cell")
         .agg(F.min("number").alias("least"), F.max("number").alias("most"))
     )
-    first, last = F.col("_first"), F.col("_last")
     ends = {"_first": _cell(F.col("lo"), F.col("level")), "_last": _cell(F.col("hi"), F.col("level"))}
-    span = F.array_distinct(F.array(first, F.least(first + 1, last), F.greatest(first, last - 1), last))
-    probes = asked.withColumns(ends).withColumn("cell", F.explode(span)).drop("_first", "_last")
+    steps = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.col("_first") + i)
+    probes = (
+        asked.withColumns(ends)
+        .withColumn("cell", F.explode(F.filter(steps, lambda c: c <= F.col("_last"))))
+        .drop("_first", "_last")
+    )
     hits = probes.join(cells, [*run, "level", "cell"]).where(
         # Some number of the cell lies inside when its smallest or its largest does.  A cell that
         # only reaches the start of the interval has its largest inside, and so on.
