@@ -49,21 +49,31 @@ def _lower_exponent(sci: Column) -> Column:
 
 def general_format(x: Column, digits: int) -> Column:
     """``%g`` style: ``digits`` significant digits, trailing zeros dropped, exponent if needed."""
-    sci = F.format_string(f"%.{digits - 1}e", x.cast("double"))
+    x = x.cast("double")
+    # Nine decimals that fit into the wanted digits are the answer already; formatting is slow.
+    short = F.round(x, 9).cast("string")
+    is_short = F.abs(x).between(1e-3, 9e5) & (F.length(short) <= digits + 1)
+    sci = F.format_string(f"%.{digits - 1}e", x)
     rounded = sci.try_cast("double")
     plain = F.regexp_replace(rounded.try_cast("decimal(38,12)").cast("string"), r"\.?0+\z", "")
     in_plain_range = F.abs(rounded).between(1e-4, float(10**digits) * (1 - 1e-15)) | (rounded == 0)
-    return F.when(in_plain_range, plain).otherwise(_lower_exponent(F.regexp_replace(sci, r"\.?0+e", "e")))
+    return (
+        F.when(is_short, F.regexp_replace(short, r"\.0\z", ""))
+        .when(in_plain_range, plain)
+        .otherwise(_lower_exponent(F.regexp_replace(sci, r"\.?0+e", "e")))
+    )
 
 
 def float_text(x: Column) -> Column:
     """Shortest text of a double with at least one decimal; exponent only from 1e16 or below 1e-4."""
+    text = x.cast("string")
     plain = F.regexp_replace(x.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+\z", "$1")
-    signed = F.regexp_replace(x.cast("string"), r"E(?=\d)", "E+")
-    padded = F.regexp_replace(signed, r"(?<=E[+-])(\d)\z", "0$1")
+    padded = F.regexp_replace(F.regexp_replace(text, r"E(?=\d)", "E+"), r"(?<=E[+-])(\d)\z", "0$1")
     scientific = _lower_exponent(F.regexp_replace(padded, r"(\.0)?E", "e"))
-    in_plain_range = ((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16)) | (x == 0)
-    return F.when(in_plain_range, plain).otherwise(scientific)
+    in_plain_range = (F.abs(x) >= 1e-4) & (F.abs(x) < 1e16)
+    # Almost every number is already printed the wanted way.
+    as_printed = ((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)) | (x == 0)
+    return F.when(as_printed, text).when(in_plain_range, plain).otherwise(scientific)
 
 
 def number_key(x: Column, tolerance: Column) -> Column:

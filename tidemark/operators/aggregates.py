@@ -88,6 +88,9 @@ def exact_quantiles(
     most ``accuracy`` rows are bracketed by their minimum and maximum.
     """
     keys = list(keys)
+    if not keys:  # one group: a constant key keeps every join an equi-join
+        whole = df.withColumn("_all", F.lit(1))
+        return exact_quantiles(whole, ["_all"], value, qs, accuracy).drop("_all")
     rows = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).where(
         F.col("_v").isNotNull()
     )
@@ -109,7 +112,7 @@ def exact_quantiles(
     groups = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_n", F.array(*brackets).alias("_b"))
     # Null-safe keys: a NULL group is a group.  One sketch row per group joins many value rows; a hot
     # group is on the many side only, where adaptive execution splits it.
-    joined = rows.join(groups, [rows[k].eqNullSafe(groups[f"_g_{k}"]) for k in keys] or F.lit(True))
+    joined = rows.join(groups, [rows[k].eqNullSafe(groups[f"_g_{k}"]) for k in keys])
     tagged = joined.select(
         *keys,
         "_n",

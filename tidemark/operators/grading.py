@@ -36,12 +36,18 @@ def with_grading_inputs(df: DataFrame) -> DataFrame:
     value, is_number = F.col("answer_value"), F.col("answer_is_number")
     direct = value.try_cast("double")
     e, g = F.col("_e"), F.col("_g")
+
+    def textual(c: Column) -> Column:
+        """Only a text truth that is not a number is compared by its canonical form."""
+        needed = ~F.col("expected_is_number") & (F.col("_truth").isNull() | F.col("_number").isNull())
+        return F.when(needed, canonical_text(c))
+
     return (
         df.withColumns(
             {
                 # A number as it is, a text if it is entirely a number.
                 "_number": F.when(is_number, direct).otherwise(parse_number(value)),
-                "_truth": parse_number(F.col("expected")),
+                "_truth": F.when(~F.col("expected_is_number"), parse_number(F.col("expected"))),
                 "_given": canonical_unit(F.col("answer_unit")),
                 "_wanted": canonical_unit(F.col("unit")),
                 # A text that contains the abstention phrase.
@@ -54,7 +60,7 @@ def with_grading_inputs(df: DataFrame) -> DataFrame:
                 "_converted": convert_canonical(F.col("_number"), F.col("_given"), F.col("_wanted")),
             }
         )
-        .withColumns({"_e": canonical_text(F.col("expected")), "_g": canonical_text(F.col("_text"))})
+        .withColumns({"_e": textual(F.col("expected")), "_g": textual(F.col("_text"))})
         .withColumn("_same_text", (e == g) | (e.rlike(r"^\d{4}(-\d{2})?\z") & g.startswith(e)))
         .drop("_e", "_g")
     )
@@ -98,21 +104,17 @@ def _compare(number: Column, converted: Column) -> Column:
     return _verdict(close, reason, float_text(number), number, converted)
 
 
-def _unit_refused(verb: str, wanted: Column) -> Column:
-    reason = F.concat(F.lit("unit '"), F.col("answer_unit"), F.lit(f"' {verb} "), wanted)
-    return _verdict(F.lit(False), reason, float_text(F.col("_number")), F.col("_number"))
+def _is_count() -> Column:
+    return F.coalesce(F.col("unit").isin(*COUNT_UNITS), F.lit(False))
 
 
-def grade_count() -> Column:
-    """Verdict of a count: no unit, the unit of the question, or a word for records; never rescaled."""
-    accepted = (
+def _count_unit_fits() -> Column:
+    """No unit, the unit of the question, or a word for records."""
+    return (
         F.col("answer_unit").isNull()
         | F.coalesce(F.col("_given") == F.col("unit"), F.lit(False))
         | squeeze(F.col("answer_unit")).isin(*COUNT_WORDS)
     )
-    return F.when(accepted, _compare(F.col("_number"), F.lit(False))).otherwise(
-        _unit_refused("does not count", F.col("unit"))
-    )
 
 
 def _differs() -> Column:
@@ -121,11 +123,31 @@ def _differs() -> Column:
     return named & ~F.col("_given").eqNullSafe(F.col("_wanted"))
 
 
+def _grade_value(refusal: Column, rescaled: Column) -> Column:
+    """A number either has a unit that is refused, or is compared, rescaled where that applies."""
+    value = F.when(rescaled, F.col("_converted")).otherwise(F.col("_number"))
+    said = F.concat(F.lit("unit '"), F.col("answer_unit"), F.lit("' "), refusal)
+    refused = _verdict(F.lit(False), said, float_text(F.col("_number")), F.col("_number"))
+    return F.when(refusal.isNotNull(), refused).otherwise(_compare(value, rescaled))
+
+
+def _count_refusal() -> Column:
+    return F.when(~_count_unit_fits(), F.concat(F.lit("does not count "), F.col("unit")))
+
+
+def _unit_refusal() -> Column:
+    text = F.concat(F.lit("is not convertible to '"), F.col("unit"), F.lit("'"))
+    return F.when(_differs() & F.col("_converted").isNull(), text)
+
+
+def grade_count() -> Column:
+    """Verdict of a count: the label has to fit, the value is never rescaled."""
+    return _grade_value(_count_refusal(), F.lit(False))
+
+
 def grade_numeric() -> Column:
     """Verdict of a measured value: converted to the unit of the question, then within tolerance."""
-    refused = _unit_refused("is not convertible to", F.concat(F.lit("'"), F.col("unit"), F.lit("'")))
-    value = F.when(_differs(), F.col("_converted")).otherwise(F.col("_number"))
-    return F.when(_differs() & F.col("_converted").isNull(), refused).otherwise(_compare(value, _differs()))
+    return _grade_value(_unit_refusal(), _differs())
 
 
 def grade() -> Column:
@@ -137,8 +159,12 @@ def grade() -> Column:
         .when(unanswerable | F.col("_declined"), grade_declined())
         .when(~F.col("expected_is_number"), grade_text())
         .when(F.col("_number").isNull(), _verdict(F.lit(False), said, F.col("answer_value")))
-        .when(F.col("unit").isin(*COUNT_UNITS), grade_count())
-        .otherwise(grade_numeric())
+        # Counts and measured values share one comparison, which keeps the generated code small.
+        .otherwise(
+            _grade_value(
+                F.when(_is_count(), _count_refusal()).otherwise(_unit_refusal()), ~_is_count() & _differs()
+            )
+        )
     )
 
 

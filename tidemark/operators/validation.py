@@ -191,71 +191,97 @@ def validate_tool_calls(calls: DataFrame, tool: str = "tool", raw: str = "raw_ar
 PLAN_FIELDS = ("interpretation", "assumptions", "answerable", "expected_unit", "steps")
 
 
+def _plan_step(s: Column) -> Column:
+    """A step reduced to what the rules look at."""
+    fields = F.try_variant_get(s, "$", "map<string,variant>")
+    tool, description = F.try_variant_get(s, "$.tool", "variant"), F.try_variant_get(s, "$.description", "variant")
+    extra = F.exists(F.map_keys(fields), lambda k: ~k.isin("tool", "description"))
+    shaped = ~extra & (_kind(tool) == "STRING") & (_kind(description) == "STRING") & _text(tool).isin(*TOOLS)
+    return F.struct(
+        F.coalesce(shaped, F.lit(False)).alias("shaped"),
+        _text(tool).alias("tool"),
+        F.length(_text(description)).alias("size"),
+    )
+
+
+def _plan_note(a: Column) -> Column:
+    text = _text(a)
+    fits = ~is_blank(text) & (F.length(text) <= 200)
+    return F.struct((_kind(a) == "STRING").alias("shaped"), F.coalesce(fits, F.lit(False)).alias("fits"))
+
+
 def validate_plans(plans: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``status`` and ``errors`` to recorded plan documents."""
-    known = F.lit(True)
-    parsed = plans.withColumn("_doc", parse_lenient(F.col(raw))).withColumn("_f", _fields("_doc"))
-    f = F.col("_f")
-    items = {n: F.try_variant_get(_get(f, n), "$", "array<variant>") for n in ("assumptions", "steps")}
-    listed = {n: _is(_get(f, n), "ARRAY") for n in items}
-    flag = _get(f, "answerable")
-    flag_number = F.try_variant_get(flag, "$", "double")
+    """Add ``status`` and ``errors`` to recorded plan documents.
+
+    The document is taken apart once, step by step, so that every rule reads plain columns.
+    """
+    f, flag, unit = F.col("_f"), F.col("_flag"), F.col("_unit")
+
+    def listed(name: str) -> Column:
+        return F.try_variant_get(_get(f, name), "$", "array<variant>")
+
+    parsed = (
+        plans.withColumn("_doc", parse_lenient(F.col(raw)))
+        .withColumn("_f", _fields("_doc"))
+        .withColumns(
+            {
+                "_flag": _get(f, "answerable"),
+                "_unit": _get(f, "expected_unit"),
+                "_notes": F.when(_is(_get(f, "assumptions"), "ARRAY"), F.transform(listed("assumptions"), _plan_note)),
+                "_steps": F.when(_is(_get(f, "steps"), "ARRAY"), F.transform(listed("steps"), _plan_step)),
+            }
+        )
+        .withColumns(
+            {
+                "_flag_kind": _kind(flag),
+                "_n_notes": F.size("_notes"),
+                "_n_steps": F.size("_steps"),
+                "_notes_shaped": F.forall("_notes", lambda a: a["shaped"]),
+                "_steps_shaped": F.forall("_steps", lambda s: s["shaped"]),
+                "_described": F.forall("_steps", lambda s: s["size"].between(1, 300)),
+                "_submits": F.size(F.filter("_steps", lambda s: s["tool"] == "submit_answer")),
+            }
+        )
+    )
+    kind = F.col("_flag_kind")
     flag_ok = (
-        (_kind(flag) == "BOOLEAN")
-        | (_kind(flag).rlike(NUMERIC) & flag_number.isin(0.0, 1.0))
-        | ((_kind(flag) == "STRING") & F.lower(_text(flag)).isin(*TRUE_FALSE_WORDS))
+        (kind == "BOOLEAN")
+        | (kind.rlike(NUMERIC) & F.try_variant_get(flag, "$", "double").isin(0.0, 1.0))
+        | ((kind == "STRING") & F.lower(_text(flag)).isin(*TRUE_FALSE_WORDS))
     )
-    unit = _get(f, "expected_unit")
-
-    notes, steps = items["assumptions"], items["steps"]
-    notes_typed = F.forall(notes, lambda a: _is(a, "STRING"))
-    notes_bad = F.exists(notes, lambda a: is_blank(_text(a)) | (F.length(_text(a)) > 200))
-
-    def step(name: str, s: Column) -> Column:
-        return F.try_variant_get(s, f"$.{name}", "variant")
-
-    def step_typed(s: Column) -> Column:
-        keys = F.map_keys(F.try_variant_get(s, "$", "map<string,variant>"))
-        only = F.forall(keys, lambda k: k.isin("tool", "description"))
-        return F.coalesce(
-            _is(s, "OBJECT") & only & (_kind(step("tool", s)) == "STRING") & _text(step("tool", s)).isin(*TOOLS)
-            & (_kind(step("description", s)) == "STRING"),
-            F.lit(False),
-        )
-
-    steps_typed = F.forall(steps, step_typed)
-    steps_sized = F.size(steps).between(1, 8)
-    described = F.forall(steps, lambda s: F.length(_text(step("description", s))).between(1, 300))
-    submits = F.size(F.filter(steps, lambda s: _text(step("tool", s)) == "submit_answer"))
-    ends_once = (submits == 1) & (_text(step("tool", F.try_element_at(steps, F.lit(-1)))) == "submit_answer")
+    notes, steps, n_notes, n_steps = (F.col(c) for c in ("_notes", "_steps", "_n_notes", "_n_steps"))
+    few_notes, some_steps = notes.isNotNull() & (n_notes <= 5), steps.isNotNull() & n_steps.between(1, 8)
+    notes_shaped, steps_shaped = F.col("_notes_shaped"), F.col("_steps_shaped")
+    last_submits = F.try_element_at(steps, F.lit(-1))["tool"] == "submit_answer"
+    ends_once = (F.col("_submits") == 1) & last_submits
 
     errors = [
         *_shape(f, PLAN_FIELDS),
         *_length(f, "interpretation", 1, 500),
-        _when(_has(f, "assumptions") & ~listed["assumptions"], "schema", "assumptions", NOT_LIST),
-        _when(listed["assumptions"] & (F.size(notes) > 5), "rule", "assumptions", "List should have at most 5 items"),
-        _when(listed["assumptions"] & (F.size(notes) <= 5) & ~notes_typed, "schema", "assumptions", NOT_STRING),
+        _when(_has(f, "assumptions") & notes.isNull(), "schema", "assumptions", NOT_LIST),
+        _when(notes.isNotNull() & (n_notes > 5), "rule", "assumptions", "List should have at most 5 items"),
+        _when(few_notes & ~notes_shaped, "schema", "assumptions", NOT_STRING),
         _when(
-            listed["assumptions"] & (F.size(notes) <= 5) & notes_typed & notes_bad, "rule", "assumptions",
+            few_notes & notes_shaped & F.exists(notes, lambda a: ~a["fits"]), "rule", "assumptions",
             "Value error, each assumption must be 1 to 200 characters",
         ),
         _when(_has(f, "answerable") & ~F.coalesce(flag_ok, F.lit(False)), "schema", "answerable", NOT_BOOL),
         _when(_has(f, "expected_unit") & ~_null(unit) & ~_is(unit, "STRING"), "schema", "expected_unit", NOT_STRING),
-        _when(_has(f, "steps") & ~listed["steps"], "schema", "steps", NOT_LIST),
-        _when(listed["steps"] & (F.size(steps) < 1), "rule", "steps", "List should have at least 1 item"),
-        _when(listed["steps"] & (F.size(steps) > 8), "rule", "steps", "List should have at most 8 items"),
-        _when(listed["steps"] & steps_sized & ~steps_typed, "schema", "steps", "A step has wrong fields or types"),
+        _when(_has(f, "steps") & steps.isNull(), "schema", "steps", NOT_LIST),
+        _when(steps.isNotNull() & (n_steps < 1), "rule", "steps", "List should have at least 1 item"),
+        _when(steps.isNotNull() & (n_steps > 8), "rule", "steps", "List should have at most 8 items"),
+        _when(some_steps & ~steps_shaped, "schema", "steps", "A step has wrong fields or types"),
         _when(
-            listed["steps"] & steps_sized & steps_typed & ~described, "rule", "steps",
+            some_steps & steps_shaped & ~F.col("_described"), "rule", "steps",
             "A step description must be 1 to 300 characters",
         ),
         _when(
-            listed["steps"] & steps_sized & steps_typed & described & ~ends_once, "rule", "steps",
+            some_steps & steps_shaped & F.col("_described") & ~ends_once, "rule", "steps",
             "Value error, the plan must contain exactly one submit_answer step, and it must be last",
         ),
     ]
-    out = _with_errors(parsed, _collect(errors, _extras(f, PLAN_FIELDS)), known)
-    return out.withColumn("status", _status(known)).drop("_doc", "_f")
+    out = _with_errors(parsed, _collect(errors, _extras(f, PLAN_FIELDS)), F.lit(True)).withColumn("status", _status(F.lit(True)))
+    return out.select(*plans.columns, "errors", "status")
 
 
 def validation_errors_long(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
