@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import answer_key, float_text, general_format, parse_number
 from ..functions.text import NOT_ANSWERABLE, canonical_text, squeeze, strip
 from ..functions.units import COUNT_UNITS, COUNT_WORDS, canonical_unit, convert_canonical
+from .slices import computed_once
 
 def _verdict(
     correct: Column, reason: Column, got: Column | None = None, number: Column | None = None, converted: Column | None = None
@@ -170,7 +171,7 @@ def grade() -> Column:
 
 def grade_runs(df: DataFrame, name: str = "verdict") -> DataFrame:
     """Add the verdict struct; a projection without shuffle."""
-    return with_grading_inputs(df).withColumn(name, grade()).drop(*INPUTS)
+    return computed_once(with_grading_inputs(df), name, grade()).drop(*INPUTS)
 
 
 def join_questions(runs: DataFrame, questions: DataFrame) -> DataFrame:

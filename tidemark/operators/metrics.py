@@ -233,6 +233,8 @@ def summarize_runs(
         counters = map_counter_totals(runs, keys)
         for counter in ("stop_reasons", "plan_status", "sandbox_violations", "sandbox_limits"):
             out = out.join(_as_map(counters, counter, keys), keys, "left")
+            empty = F.create_map().cast("map<string,bigint>")
+            out = out.withColumn(counter, F.coalesce(F.col(counter), empty))
     return out
 
 

@@ -81,3 +81,14 @@ def threshold_filter(df: DataFrame, column: str, op: str, bound: float) -> DataF
 
 def column_projection(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed before anything that reads it.
+
+    A filter is pushed through a projection by repeating the projected expression in the filter; with
+    decisions built from hundreds of expressions the plan would explode.  A one-row generator is a
+    border filters on this column do not cross, while all other filters and column pruning do.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name))

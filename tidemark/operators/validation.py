@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
+from .slices import computed_once
 
 # Limits and texts of the record rules.
 MAX_CODE = 20_000
@@ -153,12 +154,11 @@ def _with_errors(df: DataFrame, errors: Column, known: Column) -> DataFrame:
     not_object = F.array(
         F.struct(F.lit("schema").alias("level"), F.lit("(arguments)").alias("path"), F.lit(NOT_OBJECT).alias("message"))
     )
-    return df.withColumn(
-        "errors",
-        F.when(~known | F.col("_doc").isNull(), F.expr("array()").cast("array<struct<level:string,path:string,message:string>>"))
-        .when(~_is(F.col("_doc"), "OBJECT"), not_object)
-        .otherwise(errors),
+    none = F.expr("array()").cast("array<struct<level:string,path:string,message:string>>")
+    decided = (
+        F.when(~known | F.col("_doc").isNull(), none).when(~_is(F.col("_doc"), "OBJECT"), not_object).otherwise(errors)
     )
+    return computed_once(df, "errors", decided)
 
 
 def _status(known: Column) -> Column:

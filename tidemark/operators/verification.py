@@ -17,6 +17,7 @@ from ..functions.numbers import extract_numbers, float_text, general_format, lit
 from ..functions.text import NOT_ANSWERABLE, strip
 from ..functions.units import canonical_unit, normalize_unit, plausible_limit
 from .ordered import running_count
+from .slices import computed_once
 
 MAX_REJECTIONS = 2  # corrections allowed; the next rejection ends a run
 
@@ -299,9 +300,8 @@ def verify_answers(answers: DataFrame) -> DataFrame:
     checks = F.array_compact(
         F.array(check_type(), check_unit(), check_range(), check_provenance(), check_silent_nan(), check_plan_unit())
     )
-    return with_units(answers).withColumn("checks", F.when(abstains(), declined).otherwise(checks)).withColumn(
-        "ok", ~F.exists("checks", lambda c: c["status"] == "fail")
-    )
+    checked = computed_once(with_units(answers), "checks", F.when(abstains(), declined).otherwise(checks))
+    return checked.withColumn("ok", ~F.exists("checks", lambda c: c["status"] == "fail"))
 
 
 def checks_long(verified: DataFrame, keys: Sequence[str]) -> DataFrame:
