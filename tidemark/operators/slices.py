@@ -88,7 +88,8 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
     A filter is pushed through a projection by repeating the projected expression in the filter; with
     decisions built from hundreds of expressions the plan would explode.  A one-row generator is a
-    border filters on this column do not cross, while all other filters and column pruning do.
+    border filters on this column do not cross, while all other filters and column pruning do.  The
+    value itself is computed by a projection below the generator, which compiles it.
     """
     rest = [F.col(f"`{c}`") for c in df.columns if c != name]
-    return df.select(*rest, F.explode(F.array(value)).alias(name))
+    return df.withColumn("_once", value).select(*rest, F.explode(F.array("_once")).alias(name))
