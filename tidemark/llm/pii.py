@@ -390,7 +390,7 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[list[list[str]
 
     schema = fields(features="array<array<string>>", tags="array<int>")
     found = bare.join(F.broadcast(few), "doc_id", "left_semi").mapInPandas(run, schema)
-    return [([list(w) for w in r["features"]], list(r["tags"])) for r in found.toLocalIterator() if len(r["tags"]) <= _WORDS]
+    return [([list(w) for w in r["features"]], list(r["tags"])) for r in found.collect() if len(r["tags"]) <= _WORDS]
 
 
 def find(docs: DataFrame, model: Field | None = None) -> DataFrame:

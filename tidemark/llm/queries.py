@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, simhash
+from . import mixing, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Shares of the tokens that a training mixture is to have, by what the labels say of a document.
+TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """``(doc_id, domain)`` from the quality and toxicity labels."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query("op2_mixing")
+def _mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), domains(table(spark, folder, "labels")), TARGETS)
+
+
 @query("op4_simhash")
 def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.dedup(table(spark, folder, "documents"))
