@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash, toxicity
+from . import licenses, mixing, packing, pages, pii, quality, simhash, tokens, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_licenses")
+def _licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 # Shares of the tokens that a training mixture is to have, by what the labels say of a document.
 TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
 
@@ -42,6 +47,11 @@ def _mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), domains(table(spark, folder, "labels")), TARGETS)
 
 
+@query("op3_vectors")
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.dedup(table(spark, folder, "embeddings"))
+
+
 @query("op4_simhash")
 def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.dedup(table(spark, folder, "documents"))
@@ -59,11 +69,21 @@ def _personal(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
 
 
+@query("op7_main_text")
+def _main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.texts(table(spark, folder, "pages"))
+
+
 @query("op8_packing")
 def _packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer())
 
 
+@query("op9_token_counts")
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.counts(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public vocabulary file on every machine."""
     import public_tokenizers
