@@ -21,63 +21,80 @@ END = 1  # the id that closes a document
 POOL = 2_000_000
 # Cost of a piece of n tokens: n for the dense layers and n * n / LENGTH for attention.
 QUADRATIC = 1.0 / LENGTH
-CACHED = 400_000  # words whose ids a worker remembers
+CACHED = 1_500_000  # words whose ids a worker remembers
 
-# White space of the tokenizer's splitting rule (fixed values: the Unicode property White_Space).
-_OTHER = r"\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACE = r"\n " + _OTHER
+# White space of the tokenizer's splitting rule but for space and line end (fixed values: the Unicode
+# property White_Space), and pairs of those two.
+_OTHER = "\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
+_SPACE = "\n " + _OTHER
 # Pieces no token crosses: white space before its last character, then a word with one space before it.
 _CHUNK = re.compile(f"[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+")
-# Where a text is more than words between single spaces and single line ends.
-_IRREGULAR = re.compile(rf"[{_OTHER}]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+# Byte-level vocabularies spell a byte by its own character if that is visible, else by one above 255.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELLED = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - set(_SEEN)))}
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    No token of a byte-level BPE with this splitting rule crosses the start of a word's leading space, so
-    words are encoded once each and remembered (up to a bound, then the memory starts anew).
+    No token of a byte-level BPE with this splitting rule crosses the start of a word's leading space or a
+    line end, so words are encoded once each and remembered (up to a bound, then the memory starts anew).
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-
-        class Known(dict):
-            def __init__(self, lead: str) -> None:
-                super().__init__()
-                self.lead = lead
-
-            def __missing__(self, word: str) -> bytes:
-                ids = tokenizer.encode(self.lead + word, add_special_tokens=False).ids
-                out = self[word] = np.array(ids, "<u4").tobytes()
-                return out
-
-        self.bare, self.spaced = Known(""), Known(" ")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}  # by word after a space, or by line end and word
+        self.merges = self.tokenizer.model
+        self.line_end = self._ids("\n").tobytes()
+        self.stops = {c: self._ids(c).tobytes() for c in ".,"}
         # Tokens found in a text before it is split into words.
-        whole = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("(" + "|".join(map(re.escape, whole)) + ")") if whole else None
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
     def __call__(self, text: str) -> bytes:
-        if len(self.bare) + len(self.spaced) > CACHED:
-            self.bare.clear()
-            self.spaced.clear()
         if self.whole and self.whole.search(text):
-            return b"".join(map(self._words, self.whole.split(text)))
-        return self._words(text)
+            return b"".join(map(self._plain, self.whole.split(text)))
+        return self._plain(text)
 
-    def _words(self, text: str) -> bytes:
-        bare, spaced = self.bare, self.spaced
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        if _IRREGULAR.search(text):
-            return b"".join(map(bare.__getitem__, _CHUNK.findall(text)))
-        lines = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            lines.append(bare[words[0]] + b"".join(map(spaced.__getitem__, words[1:])))
-        return bare["\n"].join(lines)
+        if any(c in text for c in _OTHER) or any(c in text for c in _DOUBLE) or text[0] in " \n" or text[-1] in " \n":
+            return b"".join(self._ids(c).tobytes() for c in _CHUNK.findall(text))
+        first, *words = text.replace("\n", " \n").split(" ")
+        needed = set(words)
+        new = needed.difference(self.known)
+        if new:
+            if len(self.known) + len(new) > CACHED:
+                self.known.clear()
+                new = needed
+            for word in new:
+                self.known[word] = self._word(word)
+        return self._ids(first).tobytes() + b"".join(map(self.known.__getitem__, words))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space, or after the line end it starts with.
+
+        A word of letters is one piece of the splitting rule, and so is a full stop or comma behind it; such a
+        piece goes straight to the merges.
+        """
+        if word[0] == "\n":
+            return self.line_end + (self._letters(word[1:]) if word[1:].isalpha() else self._ids(word[1:]).tobytes())
+        if word.isalpha():
+            return self._letters(" " + word)
+        if word[-1] in self.stops and word[:-1].isalpha():
+            return (self.known.get(word[:-1]) or self._letters(" " + word[:-1])) + self.stops[word[-1]]
+        return self._ids(" " + word).tobytes()
+
+    def _letters(self, piece: str) -> bytes:
+        spelled = piece.encode("utf-8").decode("latin-1").translate(_SPELLED)
+        return np.array([t.id for t in self.merges.tokenize(spelled)], "<u4").tobytes()
 
 
 @cache
