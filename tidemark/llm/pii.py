@@ -386,7 +386,7 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[list[list[str]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(r, t) for x in batch["text"].dropna() for r, t in examples(x)[:_RUNS]]
-            yield pd.DataFrame({"features": [r for r, _ in rows], "tags": [t for _, t in rows]})
+            yield pd.DataFrame({"features": [r for r, _ in rows], "tags": [t for _, t in rows]}, dtype=object)
 
     schema = fields(features="array<array<string>>", tags="array<int>")
     found = bare.join(F.broadcast(few), "doc_id", "left_semi").mapInPandas(run, schema)

@@ -18,6 +18,7 @@ COSINE = 0.95
 SAMPLE = 20_000  # vectors the codebooks are fitted on
 CODES = 64  # of each half; the grid has CODES * CODES cells
 RECALL = 0.995  # of pairs at the threshold itself, which are the hardest to find
+PARTNERS = 10_000
 BLOCK = 512  # vectors on each side of a comparison
 
 
@@ -94,16 +95,20 @@ class Grid:
 def fit(sample: np.ndarray, codes: int = CODES, recall: float = RECALL, cosine: float = COSINE) -> Grid:
     """Codebooks of a sample of unit vectors; the reach meets the recall on partners made at the threshold.
 
-    Each sample vector gets a partner in a random direction at exactly the given cosine.
+    Sample vectors get partners in random directions at exactly the given cosine, ``PARTNERS`` in all or one
+    each.  A code stands for eight sample vectors or more.
     """
     rng = np.random.default_rng(7)
     h = sample.shape[1] // 2
+    codes = min(codes, -(-len(sample) // 8))
     grid = Grid(_codebook(sample[:, :h], codes, rng), _codebook(sample[:, h:], codes, rng))
-    noise = rng.standard_normal(sample.shape)
-    noise -= (noise * sample).sum(1, keepdims=True) * sample
-    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-    partner = cosine * sample + np.sqrt(1 - cosine * cosine) * noise
-    grid.reach = float(np.quantile(grid.needed(sample, partner), recall)) + 1e-12
+    needed = []
+    for _ in range(-(-PARTNERS // len(sample))):
+        noise = rng.standard_normal(sample.shape)
+        noise -= (noise * sample).sum(1, keepdims=True) * sample
+        noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+        needed.append(grid.needed(sample, cosine * sample + np.sqrt(1 - cosine * cosine) * noise))
+    grid.reach = float(np.quantile(np.concatenate(needed), recall)) + 1e-12
     return grid
 
 
