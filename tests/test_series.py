@@ -171,19 +171,30 @@ def test_unsorted_check_and_running_count(spark, records):
     assert [r["running"] for r in rows] == list(np.cumsum([t > 4 for t in times]))
 
 
-@pytest.mark.parametrize("accuracy", [10, 50, 20_000])
-def test_exact_quantiles_equal_linear_interpolation(spark, accuracy):
+def test_exact_quantiles_equal_linear_interpolation(spark):
     rng = np.random.default_rng(3)
-    groups = {"hot": rng.normal(0, 1, 4000), "ties": rng.integers(0, 4, 900).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0])}
-    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan"))]
+    groups = {
+        "hot": rng.normal(0, 1, 4000),
+        "ties": rng.integers(0, 4, 900).astype(float),
+        "one": np.array([7.0]),
+        "two": np.array([1.0, 2.0]),
+        "wide": np.concatenate([-(10.0 ** rng.uniform(-300, 300, 300)), [0.0, 0.0], 10.0 ** rng.uniform(-300, 300, 300)]),
+        "close": 1e6 + np.arange(3000) * 2.0**-33,
+        None: np.array([3.0, 4.0]),
+    }
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(4)
     qs = [0.0, 0.1, 0.5, 0.95, 1.0]
-    out = {r["k"]: r for r in A.exact_quantiles(df, ["k"], "v", qs, accuracy).collect()}
+    out = {r["k"]: r for r in A.exact_quantiles(df, ["k"], "v", qs).collect()}
+    assert set(out) == set(groups)
     for k, vs in groups.items():
         for q in qs:
             assert out[k][f"q{q:g}"] == pytest.approx(np.quantile(vs, q)), (k, q)
-    whole = A.exact_quantiles(df, [], "v", [0.5], accuracy).first()[0]
-    assert whole == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5))
+    whole = A.exact_quantiles(df, [], "v", [0.5])
+    assert whole.first()[0] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert A.exact_quantiles(df.where("false"), [], "v", [0.5]).count() == 0
 
 
 def test_empty_bins_and_empty_sum(spark):

@@ -76,92 +76,97 @@ def _quantile_name(q: float) -> str:
     return f"q{q:g}"
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], accuracy: int = 100_000
-) -> DataFrame:
-    """Exact quantiles with linear interpolation of arbitrarily large groups.
-
-    ``percentile`` keeps every distinct value of a group in one task.  Here a sketch first brackets
-    each quantile between two ranks, then only the values inside a bracket are counted exactly
-    (about 8/accuracy of the group) and everything below is reduced to one number.  Both passes
-    combine on the map side, so a group holding most of the table is no special case.  Groups of at
-    most ``accuracy`` rows are bracketed by their minimum and maximum.  The last ordered step sees the
-    distinct values of a bracket only: 80 of every million rows at the default accuracy.
+# Cells of one level.  Two levels of them below a logarithmic first one leave fewer than 32,768 different
+# doubles in a cell, whatever the values are.
+_CELLS = 65_536
+_OCTAVE = 64.0
+
+
+def _first_cell(v: Column) -> Column:
+    """A nondecreasing cell number of any double: by sign and logarithm."""
+    size = F.floor(F.ln(F.abs(v)) * _OCTAVE) + 50_000  # above zero for every double but zero
+    return F.when(v == 0, F.lit(0)).otherwise(F.when(v > 0, size).otherwise(-size)).cast("long")
+
+
+def _inner_cell(v: Column, low: Column, high: Column) -> Column:
+    """Which of the equal parts of [low, high] a value lies in; nondecreasing in the value."""
+    return F.when(high > low, F.floor((v - low) / (high - low) * (_CELLS - 1))).otherwise(F.lit(0)).cast("long")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation of groups of any size, one row per group.
+
+    ``percentile`` keeps every distinct value of a group in one task.  Here values are counted (combined on
+    the map side) and each rank is found by refinement: the counts of a bounded number of cells say which
+    cell holds it, then only the values of that cell go on.  The last ordered step sees at most 32,768
+    different values.  There is one path for every size, and no keys at all is one group.  NULL and NaN are
+    skipped; a NULL key is a group.
     """
-    keys = list(keys)
-    if not keys:  # one group: a constant key keeps every join an equi-join
-        whole = df.withColumn("_all", F.lit(1))
-        return exact_quantiles(whole, ["_all"], value, qs, accuracy).drop("_all")
-    rows = df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")).where(
-        F.col("_v").isNotNull()
+    keys, n_targets = list(keys), 2 * len(qs)
+    v = F.col("_v")
+    counted = (
+        df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"))
+        .where(v.isNotNull())
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_cell", _first_cell(v))
     )
-    margin = 4.0 / accuracy
-    fences = [(max(0.0, q - margin), min(1.0, q + margin)) for q in qs]
-    sketch = F.percentile_approx("_v", [x for pair in fences for x in pair], accuracy)
-    groups = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s")
-    )
-    small = F.col("_n") <= accuracy
-    brackets = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when(small, F.col("_min")).otherwise(F.get("_s", F.lit(2 * i))).alias("lo"),
-            F.when(small, F.col("_max")).otherwise(F.get("_s", F.lit(2 * i + 1))).alias("hi"),
+    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    # Ranks wanted: for each quantile the one below its position and the one above.
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cells = cells.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(group))
+    positions = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
+    ranks = [r.cast("long") for x in positions for r in (F.floor(x), F.ceil(x))]
+    targets = F.array(*[F.struct(F.lit(t).alias("t"), r.alias("r")) for t, r in enumerate(ranks)])
+    here = F.filter(targets, lambda x: (x["r"] < F.col("_upto")) & (x["r"] >= F.col("_upto") - F.col("_c")))
+    wanted = cells.select(*keys, "_n", "_cell", "_low", "_high", (F.col("_upto") - F.col("_c")).alias("_below"), F.explode(here).alias("_x"))
+    wanted = wanted.select(*keys, "_n", "_cell", "_low", "_high", F.col("_x.t").alias("_t"), (F.col("_x.r") - F.col("_below")).alias("_r"))
+
+    inside = _meet(counted, wanted, keys, ["_cell"])
+    for _ in range(2):
+        inside = inside.withColumn("_cell", _inner_cell(v, F.col("_low"), F.col("_high")))
+        found = inside.groupBy(*keys, "_n", "_t", "_r", "_cell").agg(
+            F.sum("_c").alias("_c"), F.min("_v").alias("_newlow"), F.max("_v").alias("_newhigh")
         )
-        for i in range(len(qs))
-    ]
-    groups = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_n", F.array(*brackets).alias("_b"))
-    # Null-safe keys: a NULL group is a group.  One sketch row per group joins many value rows; a hot
-    # group is on the many side only, where adaptive execution splits it.
-    joined = rows.join(groups, [rows[k].eqNullSafe(groups[f"_g_{k}"]) for k in keys])
-    tagged = joined.select(
-        *keys,
-        "_n",
-        F.explode(
-            F.transform(
-                F.filter("_b", lambda b: F.col("_v") <= b["hi"]),
-                lambda b: F.struct(b["i"].alias("i"), F.when(F.col("_v") >= b["lo"], F.col("_v")).alias("v")),
-            )
-        ).alias("_t"),
-    )
-    counted = tagged.groupBy(*keys, "_n", F.col("_t.i").alias("_i"), F.col("_t.v").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    order = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn(
-        "_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    wanted = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_i") + 1)
-    position = wanted * (F.col("_n") - 1)
-    ranked = ranked.withColumn("_k", F.floor(position)).withColumn("_f", position - F.floor(position))
-    in_bracket = F.col("_v").isNotNull()
-    at_k = F.min(F.when(in_bracket & (F.col("_upto") > F.col("_k")), F.col("_v")))
-    after_k = F.min(F.when(in_bracket & (F.col("_upto") > F.col("_k") + 1), F.col("_v")))
-    below = F.coalesce(F.max(F.when(~in_bracket, F.col("_upto"))), F.lit(0))
-    found = ranked.groupBy(*keys, "_i").agg(
-        at_k.alias("_a"), after_k.alias("_z"), below.alias("_below"), F.max("_f").alias("_f"), F.max("_k").alias("_k")
-    )
-    inside = (
-        F.col("_a").isNotNull()
-        & (F.col("_below") <= F.col("_k"))
-        & (F.col("_z").isNotNull() | (F.col("_f") == 0))
-    )
-    result = F.col("_a") + (F.coalesce("_z", "_a") - F.col("_a")) * F.col("_f")
-    checked = F.when(inside, result).otherwise(F.raise_error(F.lit("quantile outside its bracket")))
-    found = found.select(*keys, "_i", checked.alias("_q"))
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(_quantile_name(q)) for i, q in enumerate(qs)]
-    )
+        found = _holding_rank(found, keys, "_cell")
+        found = found.select(*keys, "_t", "_cell", F.col("_r").alias("_newr"), F.col("_newlow"), F.col("_newhigh"))
+        inside = _meet(inside, found, keys, ["_t", "_cell"]).select(
+            *keys, "_n", "_t", "_v", "_c", F.col("_newr").alias("_r"), F.col("_newlow").alias("_low"), F.col("_newhigh").alias("_high")
+        )
+    values = _holding_rank(inside.select(*keys, "_n", "_t", "_r", "_v", "_c"), keys, "_v")
+    per = values.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(F.col("_t") == t, v)).alias(f"_v{t}") for t in range(n_targets)])
+    out = []
+    for i, (q, x) in enumerate(zip(qs, positions, strict=True)):
+        low, high = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
+        between = low + (high - low) * (x - F.floor(x))
+        out.append(F.when(low == high, low).otherwise(between).alias(_quantile_name(q)))
+    return per.where(F.col("_n").isNotNull()).select(*keys, *out)
+
+
+def _meet(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """Rows of the wanted cells, with what is wanted of them; NULL keys are equal."""
+    named = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, *on)], *[c for c in wanted.columns if c not in (*keys, *on)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(k) == F.col(f"_k_{k}") for k in on]
+    return rows.join(named, same).drop(*[f"_k_{k}" for k in (*keys, *on)])
+
+
+def _holding_rank(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Of ordered counts the row that holds the rank wanted; the rank becomes the one within that row."""
+    ordered = Window.partitionBy(*keys, "_t").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counts.withColumn("_upto", F.sum("_c").over(ordered))
+    held = upto.where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c")))
+    return held.withColumn("_r", F.col("_r") - (F.col("_upto") - F.col("_c"))).drop("_upto")
 
 
-def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], accuracy: int = 100_000) -> DataFrame:
-    """Exact medians of several columns in the same two passes: one row per group."""
+def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Exact medians of several columns in the same passes: one row per group."""
     keys = list(keys)
     pairs = F.array(
         *[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]
     )
     long = df.select(*keys, F.inline(pairs))
-    halves = exact_quantiles(long, [*keys, "name"], "value", [0.5], accuracy)
+    halves = exact_quantiles(long, [*keys, "name"], "value", [0.5])
     return halves.groupBy(*keys).agg(
         *[F.max(F.when(F.col("name") == c, F.col("`q0.5`"))).alias(c) for c in columns]
     )

@@ -172,8 +172,8 @@ def verifier_catches(runs: DataFrame, keys: Sequence[str] = ("config",)) -> Data
 MEDIANS = {"total_s": "median_latency_s", "input_tokens": "median_input_tokens", "output_tokens": "median_output_tokens"}
 
 
-def latency_token_medians(runs: DataFrame, keys: Sequence[str] = ("config",), accuracy: int = 100_000) -> DataFrame:
-    medians = exact_medians(runs, keys, list(MEDIANS), accuracy).withColumnsRenamed(MEDIANS)
+def latency_token_medians(runs: DataFrame, keys: Sequence[str] = ("config",)) -> DataFrame:
+    medians = exact_medians(runs, keys, list(MEDIANS)).withColumnsRenamed(MEDIANS)
     totals = runs.groupBy(*keys).agg(
         F.sum("input_tokens").alias("total_input_tokens"), F.sum("output_tokens").alias("total_output_tokens")
     )

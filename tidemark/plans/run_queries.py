@@ -148,8 +148,7 @@ def verifier_catches(t: Tables):
        FROM runs_t GROUP BY config""",
 )
 def latency_token_medians(t: Tables):
-    # A low accuracy makes the groups of the test tables take the bracketed path too.
-    out = M.latency_token_medians(t.runs, accuracy=2_000)
+    out = M.latency_token_medians(t.runs)
     return out.select(
         "config", r("median_latency_s", 6).alias("median_latency_s"), r("median_input_tokens", 2).alias("median_input_tokens"),
         r("median_output_tokens", 2).alias("median_output_tokens"), "total_input_tokens", "total_output_tokens",
@@ -442,7 +441,7 @@ def running_rejections(t: Tables):
 )
 def running_count_by_user(t: Tables):
     rows = t.events.select("user_id", "event_id", "event_type")
-    out = O.running_count(rows, F.col("event_type") == "error", "event_id", ["user_id"], "errors", records=500)
+    out = O.running_count(rows, F.col("event_type") == "error", "event_id", ["user_id"], "errors")
     return out.select("user_id", "event_id", F.col("errors").cast("long").alias("errors"))
 
 

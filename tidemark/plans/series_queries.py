@@ -192,7 +192,7 @@ def duplicate_timestamps(t: Tables):
        FROM (SELECT o_orderdate, lag(o_orderdate) OVER (ORDER BY o_orderkey) AS before FROM orders)""",
 )
 def unsorted_check(t: Tables):
-    return O.unsorted_check(t.orders_t, "o_orderkey", records=4096)
+    return O.unsorted_check(t.orders_t, "o_orderkey")
 
 
 @query(
@@ -368,11 +368,20 @@ def agg_stddev(t: Tables):
        FROM events GROUP BY event_type""",
 )
 def agg_quantile_linear(t: Tables):
-    # Raw records have no calendar bound, so this takes the bracketed path.
+    # Raw records have no calendar bound.
     out = A.exact_quantiles(t.events, ["event_type"], "value", [0.1, 0.95])
     return out.select("event_type", r("`q0.1`").alias("p10"), r("`q0.95`").alias("p95"))
 
 
+@query(
+    "agg_quantile_unkeyed",
+    "SELECT round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.999), 4) AS p999 FROM events",
+)
+def agg_quantile_unkeyed(t: Tables):
+    out = A.exact_quantiles(t.events, [], "value", [0.5, 0.999])
+    return out.select(r("`q0.5`").alias("p50"), r("`q0.999`").alias("p999"))
+
+
 @query("agg_count_rows", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE year(o_orderdate) = 1997")
 def agg_count_rows(t: Tables):
     return S.period_slice(t.orders_t, "1997").agg(A.count_rows().alias("n"))
@@ -570,7 +579,7 @@ def two_step_extreme_then_agg(t: Tables):
          WINDOW w AS (ORDER BY time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) WHERE n = 24""",
 )
 def rolling_sum_max(t: Tables):
-    return O.rolling_sum_max(t.series_h, "v", 24, block="day", records=100).select(r("max_sum").alias("max_sum"))
+    return O.rolling_sum_max(t.series_h, "v", 24).select(r("max_sum").alias("max_sum"))
 
 
 @query(
