@@ -30,17 +30,24 @@ def literal_decimals(literal: Column) -> Column:
     )
 
 
+# A JSON string, or a number outside of one.
+_TOKEN = r'("(?:[^"\\]|\\.)*+")|(-?\d[\d.eE+-]*)'
+
+
 def submitted_literal(raw_arguments: Column, value: Column) -> Column:
-    """The ``value`` token exactly as written in the raw JSON, so 11.10 keeps two decimals.
+    """The top-level ``value`` of the raw JSON exactly as written, so 11.10 keeps two decimals.
 
-    JSON functions normalise the number, hence a pattern on the raw text.  The greedy prefix makes
-    the last of repeated keys win.  ``value`` is the fallback when the key is absent.
+    JSON functions normalise numbers, so numbers are turned into strings first.  Of repeated keys the last
+    one counts, whatever its type; keys of nested objects do not.  ``value`` is the fallback when the key is
+    absent, holds a list or an object, or the text is no JSON object.
     """
-    number = F.regexp_extract(raw_arguments, rf'(?s).*"value"\s*:\s*({NUMBER}|true|false)', 1)
-    quoted = F.regexp_extract(raw_arguments, r'(?s).*"value"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
-    return (
-        F.when(number != "", number).when(quoted != "", quoted).otherwise(value.cast("string"))
-    )
+    # A mark before and after each number, and none around strings; then the marks become quotes.
+    marked = F.replace(F.regexp_replace(raw_arguments, _TOKEN, "$1\u0001$2\u0001"), F.lit("\u0001\u0001"), F.lit(""))
+    literal = F.from_json(F.translate(marked, "\u0001", '"'), "value string")["value"]
+    checked = F.from_json(raw_arguments, "value string, broken string", {"columnNameOfCorruptRecord": "broken"})
+    whole = checked["broken"].isNull() & strip(raw_arguments).endswith("}")
+    nested = literal.rlike(r"^[\[{]") & raw_arguments.rlike(r'"value"\s*:\s*[\[{]')
+    return F.coalesce(F.when(whole & ~nested, literal), value.cast("string"))
 
 
 def _lower_exponent(sci: Column) -> Column:

@@ -142,6 +142,50 @@ def literal_decimals(t: Tables):
     return t.events.select("event_id", N.literal_decimals(literal).alias("decimals"))
 
 
+@query(
+    "submitted_literal_forms",
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN concat(user_id, '.10') WHEN 1 THEN concat('2023-0', user_id % 9 + 1)
+         WHEN 2 THEN concat(user_id, '.0') WHEN 3 THEN 'none' WHEN 4 THEN 'none' WHEN 5 THEN concat('-', user_id, 'E-3')
+         ELSE concat('a "', user_id, '" b') END AS literal FROM events""",
+)
+def submitted_literal_forms(t: Tables):
+    """Nested and repeated keys, other types, broken JSON and quotes around a number of the row."""
+    u = F.col("user_id").cast("string")
+    month = F.concat(F.lit('"2023-0'), (F.col("user_id") % 9 + 1).cast("string"), F.lit('"'))
+    raw = pick(
+        F.col("event_id"), 7,
+        F.concat(F.lit('{"value": '), u, F.lit('.10, "meta": {"value": 7.5}}')),
+        F.concat(F.lit('{"value": '), u, F.lit(', "unit": null, "value": '), month, F.lit("}")),
+        F.concat(F.lit('{"value": '), month, F.lit(', "value": '), u, F.lit(".0}")),
+        F.concat(F.lit('{"meta": {"value": '), u, F.lit("}}")),
+        F.concat(F.lit('{"value": '), u, F.lit(".10")),
+        F.concat(F.lit('{"note": "\\"value\\": 3", "value" : -'), u, F.lit("E-3 }")),
+        F.concat(F.lit('{"value": "a \\"'), u, F.lit('\\" b"}')),
+    )
+    return t.events.select("event_id", N.submitted_literal(raw, F.lit("none")).alias("literal"))
+
+
+@query(
+    "white_space_of_any_kind",
+    """SELECT event_id, concat('2023-0', user_id % 9 + 1) AS canonical, CAST(user_id AS DOUBLE) AS number, 'mm' AS unit, TRUE AS blank
+       FROM events""",
+)
+def white_space_of_any_kind(t: Tables):
+    """Months, numbers, units and empty texts between and around spaces that are not ASCII."""
+    spaces = ["\u00a0", "\u3000", "\u2009\u202f", "\u001f", "\u0085", "\u2028\t"]
+    gap = pick(F.col("event_id"), len(spaces), *[F.lit(s) for s in spaces])
+    months = [m.capitalize() for m in X.MONTHS[:9]]
+    month = F.element_at(F.array(*[F.lit(m) for m in months]), (F.col("user_id") % 9 + 1).cast("int"))
+    number = N.parse_number(F.concat(gap, F.col("user_id").cast("string"), gap))
+    return t.events.select(
+        "event_id",
+        X.canonical_text(F.concat(gap, month, gap, F.lit("2023"))).alias("canonical"),
+        number.alias("number"),
+        U.canonical_unit(F.concat(gap, F.lit("MM"), gap)).alias("unit"),
+        X.is_blank(gap).alias("blank"),
+    )
+
+
 @query(
     "submitted_literal",
     "SELECT event_id, CASE event_id % 6 WHEN 4 THEN concat(user_id, '.50') ELSE 'none' END AS literal FROM calls_t",
