@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_ids, checkpointed, fields
 
-SAMPLE = 6_000  # labelled documents of each of the two folds that are learned from
+SAMPLE = 5_000  # labelled documents of each of the two folds that are learned from
 WINDOW = 48  # bytes of a window; it ends at a space where there is one
 COMMON = 12_000  # bytes of ordinary text that both dictionaries share
 OWN = 1_200  # bytes at most that are only in one of them
@@ -112,31 +112,44 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))) % 3
 
 
-def _beginnings(docs: DataFrame) -> list[bytes]:
-    """Beginnings of words that toxic documents hold far more often, the most telling first."""
+def _beginnings(table: DataFrame) -> list[list[bytes]]:
+    """Beginnings of words that toxic documents of ``table(text, toxic, part)`` hold far more often.
+
+    One list for each part, from the documents of the other parts, and one from all of them; the most telling
+    come first.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            count: Counter[tuple[bytes, int]] = Counter()
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            count: Counter[tuple[bytes, int, int]] = Counter()
+            for text, toxic, part in zip(batch["text"], batch["toxic"], batch["part"], strict=True):
                 held = set()
                 for word in set(_plain(text).split()):
                     word = b" " + word[: _BEGINNINGS.stop] + b" "
                     held.update(word[:n] for n in _BEGINNINGS if n <= len(word))
-                count.update((g, toxic) for g in held)
-            yield pd.DataFrame([(g, (1 - t) * n, t * n) for (g, t), n in count.items()], columns=["start", "a", "b"])
-
-    size = docs.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
-    if not size[0] or not size[1]:
-        return []
-    share = size[1] / (size[0] + size[1])
-    counted = docs.mapInPandas(run, fields(start="binary", a="bigint", b="bigint")).groupBy("start").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    n = F.col("a") + F.col("b")
-    ordinary = F.when(F.col("a") > 0, F.col("a") * F.log(F.col("a") / (n * (1 - share)))).otherwise(0.0)
-    ratio = 2 * (F.col("b") * F.log(F.col("b") / (n * share)) + ordinary)
-    telling = counted.where((F.col("b") >= FEWEST) & (F.col("b") > n * share)).withColumn("g", ratio).where(F.col("g") > CONTRAST)
-    # OWN bytes hold fewer entries than that: the list is bounded by the size of the dictionary.
-    return [bytes(r["start"]) for r in telling.orderBy(F.desc("g"), F.desc(F.length("start")), "start").limit(OWN).collect()]
+                count.update((g, part, toxic) for g in held)
+            rows = [(g, part, (1 - toxic) * n, toxic * n) for (g, part, toxic), n in count.items()]
+            yield pd.DataFrame(rows, columns=["start", "part", "a", "b"])
+
+    per = {(r["toxic"], r["part"]): r["n"] for r in table.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect()}
+    counted = table.mapInPandas(run, fields(start="binary", part="bigint", a="bigint", b="bigint")).groupBy("start")
+    ways = range(PARTS + 1)  # the last one leaves no part out
+    sums = [F.sum(F.when(F.col("part") != k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in ways for c in "ab"]
+    rows = counted.agg(*sums)
+    for k in ways:
+        whole = [sum(n for (toxic, part), n in per.items() if toxic == t and part != k) for t in (0, 1)]
+        share = whole[1] / sum(whole) if all(whole) else 1.0
+        a, b = F.col(f"a{k}"), F.col(f"b{k}")
+        ordinary = F.when(a > 0, a * F.log(a / ((a + b) * (1 - share)))).otherwise(0.0) if share < 1 else F.lit(0.0)
+        ratio = 2 * (b * F.log(b / ((a + b) * share)) + ordinary)
+        rows = rows.withColumn(f"g{k}", F.when((b >= FEWEST) & (b > (a + b) * share) & (ratio > CONTRAST), ratio))
+    best = F.greatest(*[F.coalesce(f"g{k}", F.lit(0.0)) for k in ways])
+    # OWN bytes hold fewer entries than that: the list is bounded by the size of the dictionaries.
+    telling = rows.where(best > 0).orderBy(best.desc(), "start").limit(OWN * len(ways)).collect()
+    return [
+        [bytes(r["start"]) for r in sorted((r for r in telling if r[f"g{k}"]), key=lambda r: (-r[f"g{k}"], -len(r["start"]), bytes(r["start"])))]
+        for k in ways
+    ]
 
 
 def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
@@ -149,31 +162,31 @@ def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
         return b" ".join(samples)[:size]
 
 
-def _ordinary(docs: DataFrame) -> tuple[bytes, bytes]:
+def _ordinary(table: DataFrame) -> tuple[bytes, bytes]:
     """Dictionary content of ordinary text: the common part, and what fills the place of the toxic part."""
-    share = F.pmod(F.xxhash64("text"), F.lit(1000))
-    few = docs.where("toxic = 0").select("text").distinct().orderBy(share, F.xxhash64("text")).limit(1000)
+    few = table.where("toxic = 0").select(F.xxhash64("text").alias("h")).orderBy("h").limit(1000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             # A thousand documents, evenly spread windows of each: a bounded table.
             cut = [w[:: len(w) // 40 + 1] for w in (windows(_plain(t), 64) for t in batch["text"])]
-            yield pd.DataFrame({"w": [x for w in cut for x in w]})
+            yield pd.DataFrame({"w": [x for w in cut for x in w]}, dtype=object)
 
-    samples = sorted(bytes(r["w"]) for r in few.mapInPandas(run, fields(w="binary")).collect())
+    chosen = table.where("toxic = 0").join(F.broadcast(few), F.xxhash64("text") == F.col("h"), "left_semi")
+    samples = sorted(bytes(r["w"]) for r in chosen.mapInPandas(run, fields(w="binary")).collect())
     np.random.default_rng(1).shuffle(samples)
     return _trained(COMMON, samples, k=64, d=8), _trained(OWN, samples[:20_000], k=16, d=6)
 
 
-def dictionaries(docs: DataFrame, common: bytes, filler: bytes) -> Dictionaries:
-    """Both dictionaries, the toxic one from ``docs(text, toxic)``, a bounded table of labelled documents.
+def dictionaries(starts: list[bytes], common: bytes, filler: bytes) -> Dictionaries:
+    """Both dictionaries from telling beginnings of words, the most telling first, and ordinary text.
 
     What the labels tell apart are a few words, so toxic text is taken to be the word beginnings that
     toxic documents hold more often; the most telling stand last, where references are shortest.  The
     ordinary dictionary has ordinary text there.
     """
     own = b""
-    for s in _beginnings(docs.dropDuplicates(["text"])):
+    for s in starts:
         if s not in own and len(own) + len(s) <= OWN:
             own = s + own
     return Dictionaries(common + (filler[-len(own) :] if own else b""), common + own)
@@ -195,9 +208,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return _bare(docs).join(F.broadcast(few), "doc_id").select("text", "toxic")
 
     part = F.pmod(F.xxhash64("text", F.lit("part")), F.lit(PARTS)).alias("part")
-    table = checkpointed(of(0).unionByName(of(2)).select("text", "toxic", part))
+    # Equal texts count once for each label.
+    table = checkpointed(of(0).unionByName(of(2)).select("text", "toxic", part).distinct())
     common, filler = _ordinary(table)
-    made = [dictionaries(table.where(F.col("part") != k), common, filler) for k in range(PARTS)]
+    *made, final = [dictionaries(starts, common, filler) for starts in _beginnings(table)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = table.mapInPandas(run, fields(toxic="int", x="array<double>")).collect()
     rows.sort(key=lambda r: (r["toxic"], r["x"]))
     x, y = np.array([r["x"] for r in rows]).reshape(-1, WIDTH), np.array([r["toxic"] for r in rows], np.float64)
-    return calibrate(dictionaries(table, common, filler), x, y)
+    return calibrate(final, x, y)
 
 
 def calibrate(made: Dictionaries, x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> Model:
