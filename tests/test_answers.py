@@ -13,7 +13,7 @@ from tidemark.functions import units as U
 from tidemark.operators import grading as G
 from tidemark.operators import validation as VA
 from tidemark.operators import verification as V
-from tidemark.plans.answer_queries import CALL_CASES, CODE_CASES, PLAN_CASES
+from tidemark.plans.answer_queries import CALLS, PROGRAMS, made_arguments
 
 
 def column(spark, values, kind, expr):
@@ -236,23 +236,47 @@ def test_tool_call_cases(spark):
         ("submit_answer", json.dumps({"value": "v" * 101, "unit": None, "method_summary": "m"}), "rule_violation"),
         ("submit_answer", '{"value": 1, "unit": null, "method_summary": "saw NaN, dropped"}', "ok"),
     ]
-    rows = [(i, t, r.replace("{n}", "7"), s) for i, (t, r, s) in enumerate([*CALL_CASES, *long])]
-    out = VA.validate_tool_calls(spark.createDataFrame(rows, "i int, tool string, raw_arguments string, want string")).collect()
+    rows = [(i, t, r, s) for i, (t, r, s) in enumerate(long)]
+    schema = "i int, tool string, raw_arguments string, want string"
+    made = spark.range(1).select(F.array(*made_arguments(F.lit(7), F.lit("click")))).first()[0]
+    rows += [(len(rows) + i, tool, raw, want) for i, ((want, tool), raw) in enumerate(zip(CALLS, made, strict=True))]
+    out = VA.validate_tool_calls(spark.createDataFrame(rows, schema)).collect()
     for r in out:
         assert r["status"] == r["want"], r
         assert bool(r["errors"]) == (r["status"] in ("schema_violation", "rule_violation"))
 
 
-def test_plan_cases(spark):
-    rows = [(i, r.replace("{n}", "7"), s) for i, (r, s) in enumerate(PLAN_CASES)]
-    for r in VA.validate_plans(spark.createDataFrame(rows, "i int, raw string, want string")).collect():
+def test_plan_limits(spark):
+    def plan(**changes):
+        steps = [{"tool": "run_python", "description": "load"}, {"tool": "submit_answer", "description": "state it"}]
+        doc = {"interpretation": "rain of May", "assumptions": [], "answerable": True, "expected_unit": None, "steps": steps}
+        return json.dumps({**doc, **changes})
+
+    submit, run = {"tool": "submit_answer", "description": "d"}, {"tool": "run_python", "description": "d"}
+    cases = {
+        plan(): "ok",
+        plan(answerable="no"): "ok",
+        plan(answerable="perhaps"): "schema_violation",
+        plan(steps="first load, then answer"): "schema_violation",
+        plan(assumptions=[3]): "schema_violation",
+        plan(steps=[submit, submit]): "rule_violation",
+        plan(steps=[submit, run]): "rule_violation",
+        plan(steps=[run] * 7 + [submit]): "ok",
+        plan(steps=[{"tool": "submit_answer", "description": "d" * 301}]): "rule_violation",
+        plan(assumptions=["\u00a0"]): "rule_violation",
+        "[" + plan() + "]": "schema_violation",
+    }
+    rows = list(cases.items())
+    for r in VA.validate_plans(spark.createDataFrame(rows, "raw string, want string")).collect():
         assert r["status"] == r["want"], r
 
 
-def test_code_policy():
-    for code, found in CODE_CASES:
-        assert sorted(VA.code_findings(code.replace("{n}", "1"))) == sorted(found)
-    assert VA.code_findings("def f(:")[0][0] == "syntax_error"
+def test_code_policy(spark):
+    rows = [(i, code.replace("{n}", "1")) for i, (code, _) in enumerate(PROGRAMS)] + [(90, "def f(:"), (91, None), (92, "")]
+    found = VA.scan_code_policy(spark.createDataFrame(rows, "i int, code string"), "code", ["i"]).collect()
+    for i, (_, want) in enumerate(PROGRAMS):
+        assert sorted((r["kind"], r["detail"], r["line"]) for r in found if r["i"] == i) == sorted(want)
+    assert [r["kind"] for r in found if r["i"] >= 90] == ["syntax_error"]
 
 
 def test_outcome_precedence(spark):
