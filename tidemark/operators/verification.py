@@ -153,31 +153,27 @@ def provenance_match(
     return hits.select(*run, value, literal).distinct()
 
 
+TOGETHER = 256  # texts that are looked for in one pass over an output
+
+
 def text_match(answers: DataFrame, blobs: DataFrame, run: Sequence[str], needle: str) -> DataFrame:
     """Distinct (run.., needle) of ``answers`` whose text occurs in an output of the run.
 
-    Every stretch of an output as long as one of the needles is joined by equality, so no answer is
-    compared with every output.  The lengths are few: submission rules bound them by 100.
+    The distinct texts of a run are dealt into lists of about ``TOGETHER``; an output meets the lists of its
+    run and is searched once for each text.  Nothing grows with the length of an output, and a run with very
+    many outputs is on the many side of the join, which adaptive execution splits.
     """
     run = list(run)
     asked = answers.select(*run, needle).where(F.length(needle) > 0).distinct()
-    lengths = asked.select(*run, F.length(needle).alias("size")).distinct()
-    pieces = (
-        blobs.select(*run, F.lower("blob").alias("blob"))
-        .join(lengths, run)
-        .where(F.length("blob") >= F.col("size"))
-        .select(
-            *run,
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("blob") - F.col("size") + 1),
-                    lambda i: F.substring(F.col("blob"), i, F.col("size")),
-                )
-            ).alias(needle),
-        )
-        .distinct()
+    lists = asked.groupBy(*run).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_lists"))
+    dealt = (
+        asked.join(lists, run)
+        .groupBy(*run, F.pmod(F.xxhash64(needle), F.col("_lists")).alias("_list"))
+        .agg(F.collect_list(needle).alias("_needles"))
     )
-    return asked.join(pieces, [*run, needle], "left_semi")
+    outputs = blobs.select(*run, F.lower("blob").alias("_blob"))
+    held = F.filter("_needles", lambda n: F.contains(F.col("_blob"), n))
+    return outputs.join(dealt, run).select(*run, F.explode(held).alias(needle)).distinct()
 
 
 # ------------------------------------------------------------------------------- checks

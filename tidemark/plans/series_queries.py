@@ -496,18 +496,18 @@ def resample_yearly(t: Tables):
 
 @query(
     "resample_fill_empty",
-    f"""SELECT strftime(bin, '%Y-%m-%d') AS bin, coalesce(total, 0) AS total, mean IS NULL AS mean_missing
-        FROM ({day_spine('day', 'o_orderdate')}) LEFT JOIN (
-          SELECT date_trunc('day', o_orderdate) AS b, CAST(count(*) AS DOUBLE) AS total, avg(o_totalprice) AS mean
-          FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1) ON b = bin
-        WHERE bin BETWEEN (SELECT min(o_orderdate) FROM orders WHERE o_orderkey % 7 = 0)
-          AND (SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 7 = 0)""",
+    """WITH d AS (SELECT o_custkey % 20 AS part, CAST(o_orderdate AS DATE) AS day, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY 1, 2),
+            s AS (SELECT part, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS bin FROM d GROUP BY 1)
+       SELECT CAST(s.part AS BIGINT) AS part, strftime(bin, '%Y-%m-%d') AS bin, CAST(coalesce(n, 0) AS DOUBLE) AS total, mean IS NULL AS mean_missing
+       FROM s LEFT JOIN d ON d.part = s.part AND d.day = CAST(s.bin AS DATE)""",
 )
 def resample_fill_empty(t: Tables):
-    # A condition that leaves many days empty; it selects what the bins are about, not a sample.
-    rows = t.orders_t.where(F.col("o_orderkey") % 7 == 0).withColumn("one", F.lit(1.0))
-    bins = R.resample(rows, "day", {"total": ("one", "sum"), "mean": ("o_totalprice", "mean")})
-    return bins.select(R.bin_id(F.col("bin"), "day").alias("bin"), "total", F.col("mean").isNull().alias("mean_missing"))
+    """All orders, as the daily series of twenty groups of customers: many of their days are empty."""
+    rows = t.orders_t.withColumns({"one": F.lit(1.0), "part": (F.col("o_custkey") % 20).cast("long")})
+    bins = R.resample(rows, "day", {"total": ("one", "sum"), "mean": ("o_totalprice", "mean")}, keys=["part"])
+    return bins.select(
+        "part", R.bin_id(F.col("bin"), "day").alias("bin"), "total", F.col("mean").isNull().alias("mean_missing")
+    )
 
 
 @query(

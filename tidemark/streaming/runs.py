@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RUN_KEY
@@ -19,13 +20,23 @@ def stream_new_runs(spark: SparkSession, source: str, table: str, checkpoint: st
     columns = [f.name for f in schema.fields]
 
     def store(batch: DataFrame, _batch_id: int) -> None:
-        fresh = batch.dropDuplicates(RUN_KEY)
+        # Of rows with one key the first to arrive stays: the oldest file, and the first line of it.
+        arrival = F.struct("_written", "_file", "_block", F.monotonically_increasing_id())
+        ordered = batch.withColumn("_arrival", arrival)
+        first = ordered.groupBy(*RUN_KEY).agg(F.min_by(F.struct(*columns), "_arrival").alias("_row"))
+        fresh = first.select("_row.*")
         done = stored_runs(batch.sparkSession, table, schema).select(*RUN_KEY)
         fresh.join(done, RUN_KEY, "left_anti").select(*columns).write.mode("append").parquet(table)
 
     query = (
         spark.readStream.schema(schema)
         .json(source)
+        .select(
+            "*",
+            F.col("_metadata.file_modification_time").alias("_written"),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+        )
         .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
