@@ -774,7 +774,12 @@ def catalogue_sql() -> str:
     parts = []
     for q in QUESTIONS:
         sql, is_text = TRUTH_SQL.get(q.id, ("SELECT 'not answerable'", True))
+        if getattr(q.truth, "unless", None):  # answered where the series reaches that far
+            mean = scalar(f"avg({TE})", year(2026))[0]
+            sql = f"CASE WHEN ({mean}) IS NULL THEN 'not answerable' END"
         num, text = ("CAST(NULL AS DOUBLE)", f"({sql})") if is_text else (f"round(({sql}), 4) + 0.0", "CAST(NULL AS VARCHAR)")
+        if getattr(q.truth, "unless", None):
+            num = f"round(({mean}), 4) + 0.0"
         parts.append(f"SELECT '{q.id}' AS question_id, {num} AS value_num, {text} AS value_text, 'ok' AS status")
     return "\nUNION ALL ".join(parts)
 
