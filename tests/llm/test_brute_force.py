@@ -78,7 +78,7 @@ def test_mixing_meets_the_targets_and_the_optimum(spark, documents, prose):
     share = (n * rate) @ p / n.sum()
     assert np.abs(share - [0.6, 0.4]).max() < 0.01
     # Plain projected gradient descent, run long, comes to the same rates.
-    target, weight, r = np.array([0.6, 0.4]), 1 / np.array([0.6, 0.4]), np.ones(len(n))
+    target, weight, r = np.array([0.6, 0.4]), 1 / ((n @ p**2) / n.sum()), np.ones(len(n))
     for _ in range(4000):
         g = (n * r) @ p / n.sum() - target
         r = np.maximum(0, r - 0.3 * (p @ (weight * g) + mixing.RIDGE * (r - 1)))
