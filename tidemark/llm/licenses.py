@@ -61,7 +61,7 @@ class _Words(dict):
     """Hash of the normal form of each word seen; starts anew when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(normal(word))
         return out

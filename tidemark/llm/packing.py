@@ -21,7 +21,7 @@ END = 1  # the id that closes a document
 POOL = 2_000_000
 # Cost of a piece of n tokens: n for the dense layers and n * n / LENGTH for attention.
 QUADRATIC = 1.0 / LENGTH
-CACHED = 1_500_000  # words whose ids a worker remembers
+CACHED = 300_000  # words whose ids a worker remembers in each of two generations
 
 # White space of the tokenizer's splitting rule but for space and line end (fixed values: the Unicode
 # property White_Space), and pairs of those two.
@@ -39,7 +39,7 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     No token of a byte-level BPE with this splitting rule crosses the start of a word's leading space or a
-    line end, so words are encoded once each and remembered (up to a bound, then the memory starts anew).
+    line end, so words are encoded once each and remembered, the latest ones of a bounded number.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,6 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}  # by word after a space, or by line end and word
+        self.older: dict[str, bytes] = {}
         self.merges = self.tokenizer.model
         self.line_end = self._ids("\n").tobytes()
         self.stops = {c: self._ids(c).tobytes() for c in ".,"}
@@ -71,11 +72,11 @@ class Encoder:
         needed = set(words)
         new = needed.difference(self.known)
         if new:
-            if len(self.known) + len(new) > CACHED:
-                self.known.clear()
+            if len(self.known) > CACHED:
+                self.known, self.older = {}, self.known
                 new = needed
             for word in new:
-                self.known[word] = self._word(word)
+                self.known[word] = self.older.get(word) or self._word(word)
         return self._ids(first).tobytes() + b"".join(map(self.known.__getitem__, words))
 
     def _word(self, word: str) -> bytes:
