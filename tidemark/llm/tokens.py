@@ -17,7 +17,7 @@ from .shared import fields
 # How the vocabulary's makers split text before tokens (a fixed value of that vocabulary).
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pre-tokens whose counts a worker remembers.
-CACHED = 400_000
+CACHED = 1_000_000
 LONG = 256
 _POOL = 1_000_000  # characters whose pre-tokens share a trie
 
