@@ -340,3 +340,21 @@ def test_quality_equals_its_sql(spark, documents, prose):
     assert (got == want).all().all()
     kept = dict(zip(got["doc_id"], got["kept"], strict=True))
     assert all(kept[i] for i in range(150)) and not kept[201] and not kept[300] and not kept[301]
+
+
+def test_frequent_lines_are_cut_from_kept_documents(spark, documents, prose):
+    line, rare = prose(777, 13), prose(778, 9)
+    rows = [(i, f"{prose(i, 30)}\n{line}\n\n{rare if i < 90 else 'x'}\n {line.upper()} \n{prose(i + 500, 3)}") for i in range(150)]
+    rows += [(200 + i, rows[k][1]) for i, k in enumerate((0, 7))] + [(300, f"{line}\n{line}\nx y"), (301, prose(5, 25))]
+    table = documents(rows)
+    got = {r["doc_id"]: r for r in quality.keep(table).collect()}
+    assert set(got) == {*range(150), 200, 201, 301}
+    for i, text in rows:
+        if i == 300:
+            continue
+        lines = text.split("\n")
+        # The first document and its copy keep the line; "x" is no more frequent than the limit.
+        want = text if i in (0, 200, 301) else "\n".join(x for x in lines if x.strip().lower() != line)
+        assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
+    lost = {r["doc_id"]: r["n_words"] - r["n_words_left"] for r in quality.assess(table).collect()}
+    assert all(lost[i] == len(dict(rows)[i].split()) - len(got[i]["text"].split()) for i in got)

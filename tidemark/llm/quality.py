@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,6 +54,21 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(covered)[:-1] > 0).sum())
 
 
+def line_hash(parts: list[bytes]) -> int:
+    """Of a normalised line, given by its lower-cased words; signed as in the tables."""
+    h = xxhash.xxh64_intdigest(b" ".join(parts))
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _parts(line: str) -> list[bytes]:
+    return line.encode("utf-8", "replace").lower().split()
+
+
+def without(text: str, removed: Collection[int]) -> str:
+    """``text`` without the lines whose hash is in ``removed``; blank lines stay."""
+    return "\n".join(line for line in text.split("\n") if not (parts := _parts(line)) or line_hash(parts) not in removed)
+
+
 def _measure(text: str | None) -> tuple:
     """The base counts, and the distinct normalised lines with their words."""
     text = text or ""
@@ -63,16 +78,16 @@ def _measure(text: str | None) -> tuple:
     duplicates = 0
     lines: dict[int, int] = {}
     for line in text.split("\n"):
-        parts = line.encode("utf-8", "replace").lower().split()
+        parts = _parts(line)
         if not parts:
             continue
         if line in seen:
             duplicates += 1
         else:
             seen.add(line)
-        h = xxhash.xxh64_intdigest(b" ".join(parts))
+        h = line_hash(parts)
         lines[h] = lines.get(h, 0) + len(parts)
-    keys = np.fromiter(lines, np.uint64, len(lines)).astype(np.int64)
+    keys = np.fromiter(lines, np.int64, len(lines))
     weights = np.fromiter(lines.values(), np.int64, len(lines))
     return len(words), chars, len(SYMBOLS.findall(text)), duplicates, repeated_words(words), keys, weights
 
@@ -108,13 +123,19 @@ def assess(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left: float = MIN_
 
     A line is normalised (A-Z lower-cased, white space squeezed) and hashed.  For each host and line the
     documents with different texts are counted; copies of one document count once, so a large group of
-    copies is not mistaken for boilerplate.  A line of more than ``line_limit`` such documents is removed
-    from all of them but the first (smallest doc_id) and its copies.  A document of which less than
-    ``min_left`` of the words remain is rejected, as is one that fails the base rules.
+    copies is not mistaken for boilerplate.  A line of more than ``line_limit`` such documents counts as
+    removed from all of them but the first (smallest doc_id) and its copies; ``keep`` removes it.  A
+    document of which less than ``min_left`` of the words remain is rejected, as is one that fails the
+    base rules.
 
     Null and empty texts have no words and fail the base rules.  A null source is the host "".
     A null doc_id is kept as it is; repeated rows get the same verdict.  Other columns are ignored.
     """
+    return _judged(docs, line_limit, min_left).drop("removed")
+
+
+def _judged(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows of ``assess`` with ``removed``, the hashes of the lines a text loses (null if none)."""
     m = checkpointed(measures(docs))
     lines = m.select("doc_id", "host", "content", F.explode(F.arrays_zip("line", "line_words")).alias("l")).select(
         "doc_id", "host", "content", F.col("l.line").alias("line"), F.col("l.line_words").alias("words")
@@ -132,7 +153,8 @@ def assess(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left: float = MIN_
         distinct.join(per_line, ["host", "line"])
         .where(F.col("content") != F.col("keeper"))
         .groupBy("host", "content")
-        .agg(F.sum("words").alias("lost"), F.count("*").alias("n_lines_removed"))
+        # Distinct lines of one text: no longer than the text itself.
+        .agg(F.sum("words").alias("lost"), F.count("*").alias("n_lines_removed"), F.collect_list("line").alias("removed"))
     )
     out = m.drop("line", "line_words").join(lost, ["host", "content"], "left")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -150,15 +172,31 @@ def assess(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left: float = MIN_
         left.cast("long").alias("n_words_left"),
         base.alias("base_failed"),
         (~base & (left >= min_left * F.col("n_words"))).alias("kept"),
+        "removed",
     )
 
 
 def keep(docs: DataFrame, **rules: float) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with all their columns.
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns, without the frequent lines.
 
-    A verdict depends on the host and the text only, so it is joined by these: rows of one doc_id with
-    different texts are judged apart.
+    Every occurrence of a line that counts as removed is cut from ``text``, and n_chars is brought up to
+    date.  A verdict depends on the host and the text only, so it is joined by these: rows of one doc_id
+    with different texts are judged apart.
     """
-    good = assess(docs, **rules).where("kept").select("host", "content").distinct()
+    good = _judged(docs, **rules).where("kept").groupBy("host", "content").agg(F.first("removed").alias("removed"))
     rows = docs.select(F.struct("*").alias("row"), _host(docs).alias("host"), content(docs).alias("content"))
-    return rows.join(good, ["host", "content"], "left_semi").select("row.*")
+    found = rows.join(good, ["host", "content"])
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without(t, {int(h) for h in r}) for t, r in zip(texts, removed, strict=True)], dtype=object)
+
+    # Only the texts that lose a line go to Python.
+    loses = F.col("removed").isNotNull()
+    text = F.col("row").getField("text").cast("string")
+    out = found.withColumn("_cut", cut(F.when(loses, text), F.col("removed")))
+    new = {"text": F.when(loses, F.col("_cut")).otherwise(text)}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(loses, F.length("_cut").cast(kind)).otherwise(F.col("row").getField("n_chars"))
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
