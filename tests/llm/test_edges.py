@@ -68,6 +68,32 @@ def test_pages_on_hard_rows(spark):
     assert pages.texts(table.limit(0)).collect() == []
 
 
+ARTICLE = "<article><h1>Sorting numbers</h1><p>One way to sort many numbers is to split them first.</p></article>"
+WORDS = "Sorting numbers|One way to sort many numbers is to split them first."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body class='page no-sidebar'>{ARTICLE}</body>", WORDS),
+        (f"<html class='nav'><body class='sidebar' id='search'>{ARTICLE}</body></html>", WORDS),
+        (ARTICLE.replace("<article>", "<article class='post has-comments'>"), WORDS),
+        (ARTICLE.replace("<article>", "<article class='related' id='search'>"), WORDS),
+        (ARTICLE.replace("</article>", "<h2 id='related-work' class='header'>Earlier work</h2><p>There is much.</p></article>"), WORDS + "|Earlier work|There is much."),
+        (ARTICLE.replace("<p>", "<section id='search-algorithms'><p>").replace("</p>", "</p></section>"), WORDS),
+        (ARTICLE.replace("<p>", "<section id='search'><p>").replace("</p>", "</p></section>"), WORDS),
+        (ARTICLE.replace("<h1>", "<div class='entry-header'><h1>").replace("</h1>", "</h1></div>"), WORDS),
+        # What such words take out still goes.
+        (ARTICLE.replace("</article>", "<div class='box ad'>Buy now</div><div id='comments'>Me too</div><section class='related'>More</section></article>"), WORDS),
+        (ARTICLE.replace("</article>", "<h2 hidden>Not seen</h2><p>The end.</p></article>"), WORDS + "|The end."),
+    ],
+)
+def test_names_of_elements_do_not_take_the_article_out(page, want):
+    score = pages.weights(pages.count(ARTICLE) + pages.count("<div><ul><li>a</li></ul></div>"))
+    score |= dict.fromkeys(("section", "/section", "h2", "/h2"), 0.0)
+    assert pages.extract(page, score) == want.replace("|", "\n\n")
+
+
 def test_vectors_on_hard_rows(spark):
     a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
     near = [1.0, 0.1, 0.0, 0.0]

@@ -29,13 +29,15 @@ INLINE = frozenset({
     "a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "big", "img",
 })
-# Words of class, id and role that say an element is no part of the article.
+# Whole words of class, id and role that say an element is no part of the article.
 ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|footer|header|"
+    r"(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|footer|header|"
     r"login|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|search|share|sharing|"
-    r"sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)",
     re.I,
 )
+# What holds or names the article is never an aside by such a word.
+WHOLE = MAIN | {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WHITE = re.compile(r"\s+")
@@ -84,10 +86,9 @@ def pieces(page: str) -> list[Piece]:
                     if top == name:
                         break
             continue
-        aside = name in OTHER or _apart(m.group(3))
+        apart = _apart(name, m.group(3), mains > 0)
         # A heading area within the article belongs to it unless it is named otherwise.
-        if name == "header" and mains and not _apart(m.group(3)):
-            aside = False
+        aside = apart or name in OTHER and not (name == "header" and mains)
         main = name in MAIN
         out.append(Piece(name, "", mains > 0, asides > 0 or aside))
         if name in VOID or m.group(3).rstrip().endswith("/") and name not in RAW and name not in MAIN:
@@ -109,12 +110,15 @@ def pieces(page: str) -> list[Piece]:
     return out
 
 
-def _apart(attributes: str) -> bool:
+def _apart(element: str, attributes: str, within: bool) -> bool:
+    """Whether attributes take an element out; ``within`` an article the id of a section is only its anchor."""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id", "role") and ASIDE.search(value):
+        if element in WHOLE or name not in ("class", "id", "role") or name == "id" and within and element == "section":
+            continue
+        if any(ASIDE.fullmatch(word) for word in value.split()):
             return True
     return False
 
