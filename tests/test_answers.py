@@ -271,6 +271,36 @@ def test_plan_limits(spark):
         assert r["status"] == r["want"], r
 
 
+def test_a_plan_has_an_error_for_each_faulty_item(spark):
+    run, submit = {"tool": "run_python", "description": "d"}, {"tool": "submit_answer", "description": "d"}
+    steps = [run, {"tool": "erase_disk", "description": 3}, "load", {"tool": None, "description": "", "why": 1}, {**run, "description": "d" * 301}, {}, submit]
+    doc = {"interpretation": "i", "assumptions": ["a", 3, "b", None], "answerable": True, "expected_unit": None, "steps": steps}
+    alone = {**doc, "assumptions": [], "steps": [run, {**run, "description": "d" * 301}, {**submit, "description": ""}]}
+    rows = [(1, json.dumps(doc)), (2, json.dumps(alone))]
+    out = VA.validate_plans(spark.createDataFrame(rows, "i int, raw string"))
+    got = sorted(tuple(r) for r in VA.validation_errors_long(out, ["i"]).collect())
+    tool = "Input should be 'describe_dataset', 'run_python' or 'submit_answer'"
+    short, long = "String should have at least 1 character", "String should have at most 300 characters"
+    want = [
+        (1, "schema", "assumptions.1", VA.NOT_STRING), (1, "schema", "assumptions.3", VA.NOT_STRING),
+        (1, "schema", "steps.1.tool", tool), (1, "schema", "steps.1.description", VA.NOT_STRING),
+        (1, "schema", "steps.2", "Input should be a valid dictionary or instance of PlanStep"),
+        (1, "schema", "steps.3.tool", tool), (1, "rule", "steps.3.description", short), (1, "schema", "steps.3.why", VA.FORBIDDEN),
+        (1, "rule", "steps.4.description", long), (1, "schema", "steps.5.tool", VA.REQUIRED), (1, "schema", "steps.5.description", VA.REQUIRED),
+        (2, "rule", "steps.1.description", long), (2, "rule", "steps.2.description", short),
+    ]
+    assert got == sorted(want)
+    assert {r["i"]: r["status"] for r in out.collect()} == {1: "schema_violation", 2: "rule_violation"}
+
+
+def test_outcomes_keep_result_and_violations(spark):
+    text = '#m#{"status": "error", "result": {"type": "number", "value": 2.5}, "violations": [{"kind": "runtime_import", "detail": "import os"}]}'
+    row = spark.createDataFrame([(False, False, False, 0, text, "#m#")], "hard_killed boolean, oom_killed boolean, raw_truncated boolean, exit_code int, stdout string, marker string")
+    got = VA.classify_results(row).select("payload.violations", F.to_json("payload.result").alias("result")).first()
+    assert [tuple(v) for v in got["violations"]] == [("runtime_import", "import os")]
+    assert json.loads(got["result"]) == {"type": "number", "value": 2.5}
+
+
 def test_code_policy(spark):
     rows = [(i, code.replace("{n}", "1")) for i, (code, _) in enumerate(PROGRAMS)] + [(90, "def f(:"), (91, None), (92, "")]
     found = VA.scan_code_policy(spark.createDataFrame(rows, "i int, code string"), "code", ["i"]).collect()

@@ -29,6 +29,8 @@ NOT_NUMBER = "Input should be a valid number"
 NOT_LIST = "Input should be a valid list"
 NOT_BOOL = "Input should be a valid boolean"
 NOT_OBJECT = "Input should be a valid dictionary or object"
+NOT_STEP = "Input should be a valid dictionary or instance of PlanStep"
+NOT_TOOL = "Input should be " + " or ".join([", ".join(f"'{t}'" for t in TOOLS[:-1]), f"'{TOOLS[-1]}'"])
 TRUE_FALSE_WORDS = ("0", "off", "f", "false", "n", "no", "1", "on", "t", "true", "y", "yes")
 NUMERIC = r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
@@ -61,8 +63,13 @@ def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def _when(condition: Column, level: str, path: str, message: str) -> Column:
-    error = F.struct(F.lit(level).alias("level"), F.lit(path).alias("path"), F.lit(message).alias("message"))
+def _error(level: str, path: Column | str, message: str) -> Column:
+    where = F.lit(path) if isinstance(path, str) else path
+    return F.struct(F.lit(level).alias("level"), where.alias("path"), F.lit(message).alias("message"))
+
+
+def _when(condition: Column, level: str, path: Column | str, message: str) -> Column:
+    error = _error(level, path, message)
     return F.when(F.coalesce(condition, F.lit(False)), error)
 
 
@@ -191,23 +198,41 @@ def validate_tool_calls(calls: DataFrame, tool: str = "tool", raw: str = "raw_ar
 PLAN_FIELDS = ("interpretation", "assumptions", "answerable", "expected_unit", "steps")
 
 
-def _plan_step(s: Column) -> Column:
-    """A step reduced to what the rules look at."""
+def _plan_step(s: Column, i: Column) -> Column:
+    """A step reduced to its tool and its errors."""
     fields = F.try_variant_get(s, "$", "map<string,variant>")
-    tool, description = F.try_variant_get(s, "$.tool", "variant"), F.try_variant_get(s, "$.description", "variant")
-    extra = F.exists(F.map_keys(fields), lambda k: ~k.isin("tool", "description"))
-    shaped = ~extra & (_kind(tool) == "STRING") & (_kind(description) == "STRING") & _text(tool).isin(*TOOLS)
+    at = lambda name: F.concat(F.lit("steps."), i.cast("string"), F.lit("." + name))
+    tool, description = _get(fields, "tool"), _get(fields, "description")
+    known = F.coalesce(_is(tool, "STRING") & _text(tool).isin(*TOOLS), F.lit(False))
+    said, size = _is(description, "STRING"), F.length(_text(description))
+    found = F.array_compact(
+        F.array(
+            _when(~_has(fields, "tool"), "schema", at("tool"), REQUIRED),
+            _when(_has(fields, "tool") & ~known, "schema", at("tool"), NOT_TOOL),
+            _when(~_has(fields, "description"), "schema", at("description"), REQUIRED),
+            _when(_has(fields, "description") & ~said, "schema", at("description"), NOT_STRING),
+            _when(said & (size < 1), "rule", at("description"), "String should have at least 1 character"),
+            _when(said & (size > 300), "rule", at("description"), "String should have at most 300 characters"),
+        )
+    )
+    keys = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
+    extra = F.transform(
+        F.filter(keys, lambda k: ~k.isin("tool", "description")),
+        lambda k: _error("schema", F.concat(F.lit("steps."), i.cast("string"), F.lit("."), k), FORBIDDEN),
+    )
+    none = F.array(_error("schema", F.concat(F.lit("steps."), i.cast("string")), NOT_STEP))
     return F.struct(
-        F.coalesce(shaped, F.lit(False)).alias("shaped"),
-        _text(tool).alias("tool"),
-        F.length(_text(description)).alias("size"),
+        F.when(known, _text(tool)).alias("tool"),
+        F.when(_is(s, "OBJECT"), F.concat(found, extra)).otherwise(none).alias("errors"),
     )
 
 
-def _plan_note(a: Column) -> Column:
+def _plan_note(a: Column, i: Column) -> Column:
     text = _text(a)
     fits = ~is_blank(text) & (F.length(text) <= 200)
-    return F.struct((_kind(a) == "STRING").alias("shaped"), F.coalesce(fits, F.lit(False)).alias("fits"))
+    shaped = _is(a, "STRING")
+    wrong = _when(~shaped, "schema", F.concat(F.lit("assumptions."), i.cast("string")), NOT_STRING)
+    return F.struct(shaped.alias("shaped"), F.coalesce(fits, F.lit(False)).alias("fits"), wrong.alias("error"))
 
 
 def validate_plans(plans: DataFrame, raw: str = "raw") -> DataFrame:
@@ -237,8 +262,7 @@ def validate_plans(plans: DataFrame, raw: str = "raw") -> DataFrame:
                 "_n_notes": F.size("_notes"),
                 "_n_steps": F.size("_steps"),
                 "_notes_shaped": F.forall("_notes", lambda a: a["shaped"]),
-                "_steps_shaped": F.forall("_steps", lambda s: s["shaped"]),
-                "_described": F.forall("_steps", lambda s: s["size"].between(1, 300)),
+                "_steps_fine": F.forall("_steps", lambda s: F.size(s["errors"]) == 0),
                 "_submits": F.size(F.filter("_steps", lambda s: s["tool"] == "submit_answer")),
             }
         )
@@ -251,7 +275,7 @@ def validate_plans(plans: DataFrame, raw: str = "raw") -> DataFrame:
     )
     notes, steps, n_notes, n_steps = (F.col(c) for c in ("_notes", "_steps", "_n_notes", "_n_steps"))
     few_notes, some_steps = notes.isNotNull() & (n_notes <= 5), steps.isNotNull() & n_steps.between(1, 8)
-    notes_shaped, steps_shaped = F.col("_notes_shaped"), F.col("_steps_shaped")
+    notes_shaped = F.col("_notes_shaped")
     last_submits = F.try_element_at(steps, F.lit(-1))["tool"] == "submit_answer"
     ends_once = (F.col("_submits") == 1) & last_submits
 
@@ -260,7 +284,6 @@ def validate_plans(plans: DataFrame, raw: str = "raw") -> DataFrame:
         *_length(f, "interpretation", 1, 500),
         _when(_has(f, "assumptions") & notes.isNull(), "schema", "assumptions", NOT_LIST),
         _when(notes.isNotNull() & (n_notes > 5), "rule", "assumptions", "List should have at most 5 items"),
-        _when(few_notes & ~notes_shaped, "schema", "assumptions", NOT_STRING),
         _when(
             few_notes & notes_shaped & F.exists(notes, lambda a: ~a["fits"]), "rule", "assumptions",
             "Value error, each assumption must be 1 to 200 characters",
@@ -270,17 +293,17 @@ def validate_plans(plans: DataFrame, raw: str = "raw") -> DataFrame:
         _when(_has(f, "steps") & steps.isNull(), "schema", "steps", NOT_LIST),
         _when(steps.isNotNull() & (n_steps < 1), "rule", "steps", "List should have at least 1 item"),
         _when(steps.isNotNull() & (n_steps > 8), "rule", "steps", "List should have at most 8 items"),
-        _when(some_steps & ~steps_shaped, "schema", "steps", "A step has wrong fields or types"),
         _when(
-            some_steps & steps_shaped & ~F.col("_described"), "rule", "steps",
-            "A step description must be 1 to 300 characters",
-        ),
-        _when(
-            some_steps & steps_shaped & F.col("_described") & ~ends_once, "rule", "steps",
+            some_steps & F.col("_steps_fine") & ~ends_once, "rule", "steps",
             "Value error, the plan must contain exactly one submit_answer step, and it must be last",
         ),
     ]
-    out = _with_errors(parsed, _collect(errors, _extras(f, PLAN_FIELDS)), F.lit(True)).withColumn("status", _status(F.lit(True)))
+    # An error for each faulty item of the two lists, unless a list is too long to be looked at.
+    none = F.expr("array()").cast("array<struct<level:string,path:string,message:string>>")
+    of_notes = F.when(few_notes, F.array_compact(F.transform(notes, lambda a: a["error"])))
+    of_steps = F.when(some_steps, F.flatten(F.transform(steps, lambda s: s["errors"])))
+    more = F.concat(F.coalesce(of_notes, none), F.coalesce(of_steps, none), _extras(f, PLAN_FIELDS))
+    out = _with_errors(parsed, _collect(errors, more), F.lit(True)).withColumn("status", _status(F.lit(True)))
     return out.select(*plans.columns, "errors", "status")
 
 
@@ -291,7 +314,8 @@ def validation_errors_long(validated: DataFrame, keys: Sequence[str]) -> DataFra
 
 # ------------------------------------------------------------------------------- executions
 OUTCOME = (
-    "status string, result_missing boolean, stdout string, error string, stdout_truncated boolean, exec_s double"
+    "status string, result variant, result_missing boolean, stdout string, error string, "
+    "violations array<struct<kind:string,detail:string>>, stdout_truncated boolean, exec_s double"
 )
 
 

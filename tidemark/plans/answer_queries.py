@@ -590,6 +590,26 @@ def validate_plans(t: Tables):
     return VA.validate_plans(t.orders.select("o_orderkey", raw.alias("raw"))).select("o_orderkey", "status")
 
 
+@query(
+    "plan_errors_long",
+    f"""WITH p AS (SELECT o_orderkey, o_orderkey AS k, o_custkey AS c,
+           o_orderkey % 10 + CAST(o_orderkey % 23 = 0 AS INT) + CAST(o_custkey % 4 > 0 AS INT) AS n FROM orders WHERE o_orderkey % 17 > 0)
+       SELECT o_orderkey, 'mood' AS path, '{VA.FORBIDDEN}' AS message FROM p WHERE k % 19 = 0
+       UNION ALL SELECT o_orderkey, 'interpretation', 'String should have at least 1 character' FROM p WHERE k % 13 = 0
+       UNION ALL SELECT o_orderkey, 'assumptions', 'List should have at most 5 items' FROM p WHERE c % 7 > 4
+       UNION ALL SELECT o_orderkey, 'steps', 'List should have at least 1 item' FROM p WHERE n = 0
+       UNION ALL SELECT o_orderkey, 'steps', 'List should have at most 8 items' FROM p WHERE n > 8
+       UNION ALL SELECT o_orderkey, 'steps.0.tool', 'Input should be ''describe_dataset'', ''run_python'' or ''submit_answer'''
+         FROM p WHERE k % 23 = 0 AND n BETWEEN 1 AND 8
+       UNION ALL SELECT o_orderkey, 'steps', 'Value error, the plan must contain exactly one submit_answer step, and it must be last'
+         FROM p WHERE k % 23 > 0 AND c % 4 = 0 AND n BETWEEN 1 AND 8""",
+)
+def plan_errors_long(t: Tables):
+    raw = made_plan(F.col("o_orderkey"), F.col("o_custkey"))
+    found = VA.validate_plans(t.orders.select("o_orderkey", raw.alias("raw")))
+    return VA.validation_errors_long(found, ["o_orderkey"]).select("o_orderkey", "path", "message")
+
+
 @query(
     "classify_results",
     """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'timeout' WHEN event_id % 13 = 0 THEN 'oom_killed'
