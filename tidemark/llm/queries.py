@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, pages, pii, quality, simhash, tokens, toxicity, vectors
+from . import lexical, licenses, mixing, packing, pages, pii, quality, resampling, simhash, tokens, toxicity, trees, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,93 @@ SELECT *, NOT base_failed AND n_words_left >= 0.3 * n_words AS kept FROM judged
 @query("op10_quality_lines", QUALITY_SQL)
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(table(spark, folder, "documents")).drop("host", "content")
+
+
+DRAW_SQL = r"""
+WITH shift_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, step: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS shifts
+  FROM range(256) AS bytes(i)
+), words AS (
+  SELECT 'd' AS side, doc_id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM documents
+  UNION ALL
+  SELECT 'b', NULL,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))
+  FROM benchmark
+), known AS (
+  SELECT word, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t, hex(encode(word)) AS digits FROM words GROUP BY word
+), bucketed AS (
+  SELECT word, s, t,
+         xor(list_reduce(
+           list_prepend(4294967295, list_transform(range(0, length(digits) // 2),
+             lambda p: 16 * (strpos('0123456789ABCDEF', substr(digits, 2 * p + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(digits, 2 * p + 2, 1)) - 1)),
+           lambda c, byte: xor(c >> 8, shifts[xor(c & 255, byte) + 1])), 4294967295) % 10000 AS bucket
+  FROM known, shift_table
+), sums AS (
+  SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM bucketed GROUP BY bucket
+), whole AS (
+  SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM bucketed
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM sums, whole
+), weighed AS (
+  SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM words JOIN bucketed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), docs AS (
+  SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9),
+           lambda p: strpos('0123456789abcdef', substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), p, 1)) - 1)), lambda h, d: 16 * h + d) AS h
+  FROM documents
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM docs LEFT JOIN weighed USING (doc_id)
+), able AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN able USING (doc_id)
+"""
+
+
+@query("op11_resampling", DRAW_SQL)
+def _resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_quality_trees")
+def _quality_trees(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return trees.score(docs, trees.train(docs, table(spark, folder, "labels")))
+
+
+SEARCH_SQL = r"""
+WITH terms AS (
+  SELECT doc_id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), lengths AS (
+  SELECT doc_id, count(*) AS n FROM terms GROUP BY 1
+), whole AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS l FROM lengths
+), cells AS (
+  SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM cells, whole GROUP BY term, docs
+), asked AS (
+  SELECT DISTINCT item_id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // l))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN cells USING (term) JOIN lengths USING (doc_id), whole
+  GROUP BY 1, 2
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@query("op13_search", SEARCH_SQL)
+def _search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
