@@ -17,7 +17,7 @@ from .shared import fields, fresh_path
 
 TOP = 50
 BLOCK_ROWS = 8_192  # documents of a block at most
-BLOCK_BYTES = 12 << 20  # of text of a block; a longer text is a block of its own
+BLOCK_BYTES = 6 << 20  # of text of a block; a longer text is a block of its own
 WIDTH = 256  # ranges that are opened at once
 TERMS = 1 << 20  # terms of the items that are searched for in one pass over the index
 SALTS = 32  # parts in which the hits of an item are ranked first
