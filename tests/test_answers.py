@@ -185,15 +185,56 @@ EXECUTIONS = (
 
 def verified(spark, executions, answers):
     """answers: (run, value, is number, unit, summary, literal, planned unit) -> {run: row}."""
-    ex = spark.createDataFrame(executions, EXECUTIONS)
+    ex = spark.createDataFrame([(*e, n) for n, e in enumerate(executions)], f"{EXECUTIONS}, n int")
     an = spark.createDataFrame(
         answers, "run string, answer_value string, answer_is_number boolean, answer_unit string, method_summary string, "
         "literal string, planned_unit string",
     )
-    out = V.verify_answers(V.attach_evidence(an, ex, ["run"])).collect()
+    out = V.verify_answers(V.attach_evidence(an, ex, ["run"], "n")).collect()
     return {r["run"]: (r["ok"], {c["name"]: c["status"] for c in r["checks"]}) for r in out}
 
 
+def test_texts_over_the_seams_of_outputs(spark, monkeypatch):
+    """As if the outputs of a run were joined: short, long, empty and very many outputs."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    runs = {f"r{k}": [word(rng.choice([0, 1, 2, 3, 9, 40, 200])) for _ in range(rng.randint(1, 12))] for k in range(60)}
+    runs["many"] = [word(rng.choice([0, 1, 2, 12])) for _ in range(3_000)]
+    outputs = [(run, 7 * n - 50, text) for run, texts in runs.items() for n, text in enumerate(texts)]
+    asked = []
+    for run, texts in runs.items():
+        joined = " ".join(texts)
+        for _ in range(40):
+            at, length = rng.randrange(len(joined) + 1), rng.choice([1, 3, 6, 12, 30])
+            needle = joined[at : at + length]
+            asked += [(run, needle), (run, needle[:-1] + "b"), (run, word(7))]
+    asked += [("none", "a"), ("none", ""), ("r1", None), ("r1", ""), ("r2", " ".join(runs["r2"])), ("r2", " ".join(runs["r2"]) + " ")]
+    want = {(run, n) for run, n in asked if run in runs and n is not None and n in " ".join(runs[run])}
+    blobs = spark.createDataFrame(outputs, "run string, n int, blob string").repartition(4)
+    answers = spark.createDataFrame(asked, "run string, needle string")
+    for outputs_a_share, tile in ((V.OUTPUTS, V.TILE), (16, 8)):
+        monkeypatch.setattr(V, "OUTPUTS", outputs_a_share), monkeypatch.setattr(V, "TILE", tile)
+        got = {(r["run"], r["needle"]) for r in V.text_match(answers, blobs, ["run"], "needle", "n").collect()}
+        assert got == want and 0 < len(want) < len(set(asked))
+
+
+def test_a_run_of_very_many_outputs_is_cut(spark):
+    many = spark.range(30_000).selectExpr("'r' AS run", "id AS n", "concat('output ', id, ' ', repeat('x', 40)) AS blob", "20 AS reach")
+    sizes = [len(r["text"]) for r in V.seams(many, ["run"], "n", "reach").collect()]
+    assert len(sizes) > 30 and max(sizes) < V.TILE + 400
+    long = spark.createDataFrame([("r", 1, "a" * 500_000), ("r", 2, "b" * 500_000)], "run string, n int, blob string").selectExpr("*", "20 AS reach")
+    assert "a" * 20 + " " + "b" * 20 in {r["text"] for r in V.seams(long, ["run"], "n", "reach").collect()}
+
+
+def test_evidence_text_is_the_joined_text(spark):
+    rows = [("r", "ok", "number", "1.5", False, False, 0, "Head", None, f"Out {n}" if n % 3 else None, n) for n in range(50)] + [("r", "error", None, None, None, None, None, None, None, "no", 99)]
+    ex = spark.createDataFrame(rows, f"{EXECUTIONS}, n int")
+    pieces = sorted((r["start"], r["text"]) for r in V.evidence_text(ex, ["run"], "n").collect())
+    whole = " ".join(f"1.5 head  {f'out {n}' if n % 3 else ''}" for n in range(50))
+    assert " ".join(t for _, t in pieces) == whole and all(whole[at : at + len(t)] == t for at, t in pieces)
+    assert V.collect_evidence(ex, ["run"]).first()["n_chars"] == len(whole)
+
+
 def test_verification_cases(spark):
     mean = "11.313892694063927"
     number = lambda run, v, **k: (run, k.get("status", "ok"), "number", v, k.get("nan", False), False, 0, None, None, k.get("out"))
@@ -211,6 +252,7 @@ def test_verification_cases(spark):
         "rate": ("0.08", ("0.08", True, "°C/year", "m", "0.08", None), True, {"unit": "pass", "range": "skip"}),
         "date": ("2023-07-01T00:00", ("2023-07", False, None, "m", "2023-07", None), True, {"unit": "skip"}),
         "wrong_date": ("2023-07-01T00:00", ("2021-07", False, None, "m", "2021-07", None), False, {"provenance": "fail"}),
+        "empty": ("4.0", (" ", False, None, "m", " ", None), True, {"provenance": "pass"}),
         "exponent": ("0.0012345", ("0.0012345", True, "mm", "m", "1.2345e-3", None), True, {}),
         "planned": ("3.0", ("3.0", True, "m/s", "m", "3.0", "km/h"), True, {"plan_unit": "warn"}),
         "planned_alias": ("3.0", ("3.0", True, "°C", "m", "3.0", "degC"), True, {"plan_unit": "pass"}),
@@ -220,6 +262,11 @@ def test_verification_cases(spark):
     executions = [number(run, c[0]) for run, c in cases.items() if c[0]]
     executions += [number("nan", None, nan=True), number("nan", "5.0"), number("told", None, nan=True), number("told", "5.0")]
     executions += [number("nothing_ran", "1.0", status="error")]
+    cases["seam"] = (None, ("Alpha beta ", False, None, "m", "Alpha beta ", None), True, {"provenance": "pass"})
+    cases["order"] = (None, ("beta alpha", False, None, "m", "beta alpha", None), False, {"provenance": "fail"})
+    for run in ("seam", "order"):
+        text = lambda v, run=run, **k: (run, k.get("status", "ok"), "string", v, None, None, None, None, None, k.get("out"))
+        executions += [text("x", out="the alpha"), text("lost", status="error"), text("beta of it")]
     answers = [(run, *c[1]) for run, c in cases.items()]
     answers += [("nan", "5.0", True, None, "mean", "5.0", None), ("told", "5.0", True, None, "dropped missing values", "5.0", None)]
     got = verified(spark, executions, answers)

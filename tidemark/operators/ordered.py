@@ -8,7 +8,7 @@ times fewer, are combined in order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,29 +166,23 @@ def unsorted_check(
     )
 
 
-def running_count(
-    df: DataFrame,
-    condition: Column,
-    position: str,
-    keys: Sequence[str],
-    name: str = "running",
-    records: int = BLOCK,
+def running_sums(
+    df: DataFrame, values: Mapping[str, Column], position: str, keys: Sequence[str], records: int = BLOCK
 ) -> DataFrame:
-    """Running number of rows that satisfy a condition, per group in order of ``position``.
+    """Running sums of whole numbers, the row itself included, per group in order of ``position``.
 
-    ``position`` must be unique within a group.  A group of any size is cut into blocks of
-    positions; the offset of a block is the total of the blocks before it.
+    ``values`` maps the name of a sum to what it adds up.  ``position`` must be unique within a group.  A group of
+    any size is cut into blocks of positions; the offset of a block is the total of the blocks before it.
     """
     keys = list(keys)
-    rows = df.withColumn("_hit", F.when(condition, 1).otherwise(0)).withColumn(
-        "_cell", F.floor(F.col(position) / records)
-    )
-    totals = rows.groupBy(*keys, "_cell").agg(F.sum("_hit").alias("_hits"))
-    order = Window.partitionBy(*keys).orderBy("_cell")
+    adds = {f"_add_{n}": v.cast("long") for n, v in values.items()}
+    rows = df.withColumns(adds).withColumn("_cell", F.floor(F.col(position) / records))
+    totals = rows.groupBy(*keys, "_cell").agg(*[F.sum(f"_add_{n}").alias(f"_add_{n}") for n in values])
+    order = _before(Window.partitionBy(*keys).orderBy("_cell"))
     offsets = totals.select(
         *[F.col(k).alias(f"_o_{k}") for k in keys],
         F.col("_cell").alias("_o_cell"),
-        F.coalesce(F.sum("_hits").over(_before(order)), F.lit(0)).alias("_offset"),
+        *[F.coalesce(F.sum(f"_add_{n}").over(order), F.lit(0)).alias(f"_before_{n}") for n in values],
     )
     same = [rows[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys] + [rows["_cell"] == offsets["_o_cell"]]
     inner = (
@@ -196,8 +190,20 @@ def running_count(
         .orderBy(position)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = rows.join(offsets, same).withColumn(name, F.col("_offset") + F.sum("_hit").over(inner))
-    return out.drop("_hit", "_cell", "_offset", "_o_cell", *[f"_o_{k}" for k in keys])
+    out = rows.join(offsets, same).withColumns({n: F.col(f"_before_{n}") + F.sum(f"_add_{n}").over(inner) for n in values})
+    return out.drop("_cell", "_o_cell", *adds, *[f"_before_{n}" for n in values], *[f"_o_{k}" for k in keys])
+
+
+def running_count(
+    df: DataFrame,
+    condition: Column,
+    position: str,
+    keys: Sequence[str],
+    name: str = "running",
+    records: int = BLOCK,
+) -> DataFrame:
+    """Running number of rows that satisfy a condition; otherwise as ``running_sums``."""
+    return running_sums(df, {name: F.when(condition, 1).otherwise(0)}, position, keys, records)
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:

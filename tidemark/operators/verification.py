@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import extract_numbers, float_text, general_format, literal_decimals
 from ..functions.text import NOT_ANSWERABLE, strip
 from ..functions.units import canonical_unit, normalize_unit, plausible_limit
-from .ordered import running_count
+from .ordered import running_count, running_sums
 from .slices import computed_once
 
 MAX_REJECTIONS = 2  # corrections allowed; the next rejection ends a run
@@ -62,11 +62,28 @@ def evidence_flags(executions: DataFrame, run: Sequence[str]) -> DataFrame:
     )
 
 
+def outputs(executions: DataFrame, run: Sequence[str], position: str) -> DataFrame:
+    """(run.., position, blob): what each successful execution shows, in lower case."""
+    return successful(executions).select(*run, position, F.lower(execution_blob()).alias("blob"))
+
+
+def evidence_text(executions: DataFrame, run: Sequence[str], position: str) -> DataFrame:
+    """(run.., position, start, text): the evidence text of a run, one row an execution.
+
+    The text of a run is that of its executions in order of ``position``, joined by a space; ``start`` is
+    the place of the first character in it.  The rows in order are the whole text, which is
+    never put together: a run may be of any length.
+    """
+    shown = outputs(executions, run, position).withColumnRenamed("blob", "text")
+    ended = running_sums(shown, {"_end": F.length("text") + 1}, position, run, OUTPUTS)
+    return ended.select(*run, position, (F.col("_end") - F.length("text") - 1).alias("start"), "text")
+
+
 def collect_evidence(executions: DataFrame, run: Sequence[str]) -> DataFrame:
-    """Per run: successful executions, missing values seen, and the spread of its numbers.
+    """Per run: successful executions, missing values seen, the spread of its numbers, and the length of its text.
 
-    The numbers themselves are ``evidence_numbers``; gathering them into one array per run would
-    put a large run into one row.
+    The numbers themselves are ``evidence_numbers``, the text is ``evidence_text``; gathering them into one
+    row per run would put a large run into one row.
     """
     numbers = (
         evidence_numbers(executions, run)
@@ -77,7 +94,10 @@ def collect_evidence(executions: DataFrame, run: Sequence[str]) -> DataFrame:
             F.max("number").alias("largest"),
         )
     )
-    return evidence_flags(executions, run).join(numbers, list(run), "left").fillna(0, ["n_numbers"])
+    length = F.sum(F.length(execution_blob()) + 1) - 1
+    texts = successful(executions).groupBy(*run).agg(length.alias("n_chars"))
+    flags = evidence_flags(executions, run).join(texts, list(run))
+    return flags.join(numbers, list(run), "left").fillna(0, ["n_numbers"])
 
 
 # ------------------------------------------------------------------------------- provenance
@@ -154,26 +174,79 @@ def provenance_match(
 
 
 TOGETHER = 256  # texts that are looked for in one pass over an output
+OUTPUTS = 1_024  # outputs of a run that are ordered, or searched, in one task
+TILE = 16_384  # characters of neighbouring outputs that are searched for texts across their seams
 
 
-def text_match(answers: DataFrame, blobs: DataFrame, run: Sequence[str], needle: str) -> DataFrame:
-    """Distinct (run.., needle) of ``answers`` whose text occurs in an output of the run.
+def seams(blobs: DataFrame, run: Sequence[str], position: str, reach: str) -> DataFrame:
+    """(run.., text): stretches of the outputs of a run, joined by spaces, around their seams.
 
-    The distinct texts of a run are dealt into lists of about ``TOGETHER``; an output meets the lists of its
-    run and is searched once for each text.  Nothing grows with the length of an output, and a run with very
-    many outputs is on the many side of the join, which adaptive execution splits.
+    Every text of up to ``reach + 1`` characters that crosses one or more seams is inside one of them, and each
+    is a piece of the joined text.  Of an output only ``reach`` characters at either end can be part of such a
+    text: a longer output is cut there, its end starts a new segment.  A segment is laid out along its
+    characters and covered by tiles that overlap by ``reach``, so neither a long output nor a run of very many
+    gathers in one task.
     """
     run = list(run)
-    asked = answers.select(*run, needle).where(F.length(needle) > 0).distinct()
-    lists = asked.groupBy(*run).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_lists"))
+    width = F.length("blob")
+    long = width > 2 * F.col(reach)
+    cut = blobs.select(
+        *run, position, reach, long.alias("_long"),
+        F.when(long, F.expr(f"left(blob, {reach})")).otherwise(F.col("blob")).alias("_head"),
+        F.when(long, F.expr(f"right(blob, {reach})")).otherwise(F.lit("")).alias("_tail"),
+    )
+    # A space stands before every output; the first of a run has none before it, which ``_at`` tells.
+    size = F.length("_head") + F.length("_tail") + 1
+    placed = running_sums(cut, {"_end": size, "_breaks": F.col("_long").cast("int")}, position, run, OUTPUTS)
+    at = F.col("_end") - size
+    head = F.struct(
+        (F.col("_breaks") - F.col("_long").cast("int")).alias("segment"), at.alias("at"),
+        F.when(at > 0, F.concat(F.lit(" "), "_head")).otherwise(F.col("_head")).alias("text"),
+    )
+    tail = F.struct(F.col("_breaks").alias("segment"), (at + F.length("_head") + 1).alias("at"), F.col("_tail").alias("text"))
+    pieces = placed.select(
+        *run, F.greatest(F.col(reach) * 4, F.lit(TILE)).alias("_tile_size"), F.col(reach).alias("_reach"),
+        F.explode(F.when(F.col("_long"), F.array(head, tail)).otherwise(F.array(head))).alias("p"),
+    ).select(*run, "_tile_size", "_reach", "p.*")
+    first = F.floor(F.greatest(F.col("at") - F.col("_reach"), F.lit(0)) / F.col("_tile_size"))
+    last = F.floor((F.col("at") + F.length("text")) / F.col("_tile_size"))
+    tiles = pieces.withColumn("_tile", F.explode(F.sequence(first, last))).groupBy(*run, "segment", "_tile")
+    # At most a tile, its overlap and the pieces at both ends.
+    inside = tiles.agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("_pieces"), F.max("at").alias("_at"))
+    return inside.where(F.col("_at") > 0).select(*run, F.concat_ws("", F.transform("_pieces", lambda p: p["text"])).alias("text"))
+
+
+def text_match(answers: DataFrame, blobs: DataFrame, run: Sequence[str], needle: str, position: str) -> DataFrame:
+    """Distinct (run.., needle) of ``answers`` whose text occurs in the joined outputs of the run.
+
+    ``blobs`` has run.., ``position`` and blob; the outputs of a run are joined by a space in order of position,
+    but never put together: a text is looked for inside every output and in the stretches around
+    their ``seams``.  An empty text occurs in every run that has an output.
+
+    The distinct texts of a run are dealt into lists of about ``TOGETHER``, its outputs into shares of about
+    ``OUTPUTS``; a share meets the lists of its run, so a run with very many outputs is searched by many
+    tasks and only lists are repeated.  Nothing grows with the length of an output.
+    """
+    run = list(run)
+    asked = answers.select(*run, needle).where(F.col(needle).isNotNull()).distinct()
+    counted = asked.groupBy(*run).agg(
+        F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_lists"), (F.greatest(F.max(F.length(needle)), F.lit(1)) - 1).alias("_reach")
+    )
+    sizes = blobs.groupBy(*run).agg(F.ceil(F.count(F.lit(1)) / OUTPUTS).alias("_shares"))
+    per_run = counted.join(sizes, run)
     dealt = (
-        asked.join(lists, run)
-        .groupBy(*run, F.pmod(F.xxhash64(needle), F.col("_lists")).alias("_list"))
+        asked.join(per_run, run)
+        .groupBy(*run, "_shares", F.pmod(F.xxhash64(needle), F.col("_lists")).alias("_list"))
         .agg(F.collect_list(needle).alias("_needles"))
+        .select(*run, "_needles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share"))
     )
-    outputs = blobs.select(*run, F.lower("blob").alias("_blob"))
-    held = F.filter("_needles", lambda n: F.contains(F.col("_blob"), n))
-    return outputs.join(dealt, run).select(*run, F.explode(held).alias(needle)).distinct()
+    known = blobs.join(per_run, run)
+    inside = known.select(*run, "_shares", F.lower("blob").alias("_text"))
+    across = seams(known.withColumn("blob", F.lower("blob")), run, position, "_reach")
+    across = across.join(sizes, run).select(*run, "_shares", F.col("text").alias("_text"))
+    texts = inside.unionByName(across).withColumn("_share", F.pmod(F.xxhash64("_text"), F.col("_shares"))).drop("_shares")
+    held = F.filter("_needles", lambda n: F.contains(F.col("_text"), n))
+    return texts.join(dealt, [*run, "_share"]).select(*run, F.explode(held).alias(needle)).distinct()
 
 
 # ------------------------------------------------------------------------------- checks
@@ -270,8 +343,11 @@ def check_plan_unit() -> Column:
     return F.when(F.col("planned_unit").isNotNull() & F.col("answer_unit").isNotNull(), check)
 
 
-def attach_evidence(answers: DataFrame, executions: DataFrame, run: Sequence[str]) -> DataFrame:
-    """Add n_runs, saw_nan and provenance_found to answers that carry their ``literal``."""
+def attach_evidence(answers: DataFrame, executions: DataFrame, run: Sequence[str], position: str) -> DataFrame:
+    """Add n_runs, saw_nan and provenance_found to answers that carry their ``literal``.
+
+    ``position`` is a unique whole number that orders the executions of a run.
+    """
     run = list(run)
     keyed = answers.withColumn(
         "_number", F.when(F.col("answer_is_number"), F.col("answer_value").try_cast("double"))
@@ -279,8 +355,8 @@ def attach_evidence(answers: DataFrame, executions: DataFrame, run: Sequence[str
     by_number = provenance_match(keyed, evidence_numbers(executions, run), run, "_number", "literal").withColumn(
         "_hit_number", F.lit(True)
     )
-    blobs = successful(executions).select(*run, execution_blob().alias("blob"))
-    by_text = text_match(keyed, blobs, run, "_needle").withColumn("_hit_text", F.lit(True))
+    by_text = text_match(keyed, outputs(executions, run, position), run, "_needle", position)
+    by_text = by_text.withColumn("_hit_text", F.lit(True))
     return (
         keyed.join(evidence_flags(executions, run), run, "left")
         .join(by_number, [*run, "_number", "literal"], "left")

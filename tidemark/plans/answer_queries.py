@@ -367,19 +367,40 @@ RUN = ["user_id"]
 
 def attached(t: Tables):
     rows = t.submissions.withColumn("literal", N.submitted_literal(F.col("raw_arguments"), F.col("answer_value")))
-    return V.attach_evidence(rows, t.executions, RUN)
+    return V.attach_evidence(rows, t.executions, RUN, "event_id")
 
 
 @query(
     "collect_evidence",
-    """SELECT user_id, CAST(n_runs AS BIGINT) AS n_runs, saw_nan, CAST(count(number) AS BIGINT) AS n_numbers,
-         min(number) AS smallest, max(number) AS largest
-       FROM flags_t LEFT JOIN evidence_t USING (user_id) GROUP BY user_id, n_runs, saw_nan""",
+    """SELECT user_id, CAST(n_runs AS BIGINT) AS n_runs, saw_nan, CAST(max(length(text)) AS BIGINT) AS n_chars,
+         CAST(count(number) AS BIGINT) AS n_numbers, min(number) AS smallest, max(number) AS largest
+       FROM flags_t JOIN joined_t USING (user_id) LEFT JOIN evidence_t USING (user_id) GROUP BY user_id, n_runs, saw_nan""",
 )
 def collect_evidence(t: Tables):
     return V.collect_evidence(t.executions, RUN)
 
 
+@query(
+    "evidence_text",
+    """SELECT user_id, event_id, CAST(sum(length(text) + 1) OVER (PARTITION BY user_id ORDER BY event_id) - length(text) - 1 AS BIGINT)
+         AS start, text FROM outputs_t""",
+)
+def evidence_text(t: Tables):
+    return V.evidence_text(t.executions, RUN, "event_id")
+
+
+@query(
+    "text_over_seams",
+    """SELECT event_id, contains(text, needle) AS found FROM needles_t JOIN joined_t USING (user_id)
+       UNION ALL SELECT event_id, false FROM needles_t ANTI JOIN joined_t USING (user_id)""",
+)
+def text_over_seams(t: Tables):
+    rows = t.needles
+    hits = V.text_match(rows, V.outputs(t.executions, RUN, "event_id"), RUN, "needle", "event_id")
+    joined = rows.join(hits.withColumn("found", F.lit(True)), [*RUN, "needle"], "left")
+    return joined.select("event_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 @query("evidence_numbers", "SELECT user_id, number FROM evidence_t")
 def evidence_numbers(t: Tables):
     return V.evidence_numbers(t.executions, RUN)

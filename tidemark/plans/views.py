@@ -266,7 +266,7 @@ class Tables:
 
     @cached_property
     def submissions(self) -> DataFrame:
-        """Answers to verify: exact, rounded, guessed and text values of the user's own purchases."""
+        """Answers to verify, one an event: exact, rounded, guessed and text values of the user's own events."""
         i, v = F.col("event_id"), F.col("value")
         tenths = F.floor(v * 10).cast("bigint")
         one = F.concat_ws(".", F.floor(tenths / 10).cast("string"), F.pmod(tenths, F.lit(10)).cast("string"))
@@ -283,7 +283,7 @@ class Tables:
         abstains = i % 6 == 5
         unit = pick(i, 5, "mm", "furlongs", F.lit(None).cast("string"), "mm/day", "°C")
         raw = F.concat(F.lit('{"unit": null, "value": '), F.when(~text & ~abstains, literal).otherwise(F.lit('"x"')), F.lit("}"))
-        return self.events.where(F.col("event_type") == "purchase").select(
+        return self.events.select(
             "user_id",
             "event_id",
             literal.alias("answer_value"),
@@ -294,6 +294,17 @@ class Tables:
             F.when(i % 7 == 0, F.lit("degC")).when(i % 7 == 1, F.lit("mm")).alias("planned_unit"),
         )
 
+    @cached_property
+    def needles(self) -> DataFrame:
+        """Texts to find in a run's outputs, one an event: within an output, over one seam, over two, and none."""
+        i = F.col("event_id")
+        a, b = (F.lpad(F.pmod(i * f, F.lit(100)).cast("string"), 2, "0") for f in (7, 13))
+        one = F.concat(F.substring(a, 2, 1), F.lit('} '), F.floor(F.pmod(F.col("value"), F.lit(40))).cast("string"))
+        two = F.concat(F.lit('} '), F.floor(F.col("value") / 4).cast("string"))
+        whole = F.concat(F.lit('   {"k": '), a, F.lit('}    {"k": '), F.substring(b, 1, 1))
+        needle = pick(i, 5, F.concat(F.lit('"k": '), a), one, two, whole, "")
+        return self.events.select("user_id", "event_id", needle.alias("needle"))
+
     # ---------------------------------------------------------------- traces
     @cached_property
     def trace_runs(self) -> DataFrame:
@@ -445,6 +456,14 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "executions_t": """SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
           event_id % 50 = 0 AS is_nan, event_id % 40 = 0 AS missing, value, props FROM events""",
+    "outputs_t": """SELECT user_id, event_id, concat(CASE WHEN is_nan THEN '' ELSE CAST(value AS VARCHAR) END, '   ', props) AS text
+        FROM executions_t WHERE status = 'ok'""",
+    "joined_t": "SELECT user_id, string_agg(text, ' ' ORDER BY event_id) AS text FROM outputs_t GROUP BY user_id",
+    "needles_t": """SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN concat('"k": ', lpad(CAST(event_id * 7 % 100 AS VARCHAR), 2, '0'))
+          WHEN 1 THEN concat(event_id * 7 % 10, '} ', CAST(floor(value % 40) AS BIGINT))
+          WHEN 2 THEN concat('} ', CAST(floor(value / 4) AS BIGINT))
+          WHEN 3 THEN concat('   {"k": ', lpad(CAST(event_id * 7 % 100 AS VARCHAR), 2, '0'), '}    {"k": ', event_id * 13 % 100 // 10)
+          ELSE '' END AS needle FROM events""",
     "evidence_t": """SELECT DISTINCT user_id, number FROM (
           SELECT user_id, value AS number FROM executions_t WHERE status = 'ok' AND NOT is_nan
           UNION ALL
@@ -461,7 +480,7 @@ VIEWS: dict[str, str] = {
             WHEN 3 THEN 'mm/day' WHEN 4 THEN '°C' END END AS unit,
           event_id % 2 = 1 AS mentions_missing,
           CASE event_id % 7 WHEN 0 THEN '°C' WHEN 1 THEN 'mm' END AS planned_unit
-        FROM events WHERE event_type = 'purchase'""",
+        FROM events""",
     "flags_t": """SELECT user_id, count(*) AS n_runs, bool_or(is_nan OR missing) AS saw_nan
         FROM executions_t WHERE status = 'ok' GROUP BY user_id""",
     "found_t": """SELECT s.event_id, bool_or(CASE
