@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordered import unsorted_check
 from .resample import STEPS
 from .slices import TIME, known
 
@@ -15,13 +15,14 @@ from .slices import TIME, known
 def expected_times(spark: SparkSession, first: str, last: str, freq: str = "hour", name: str = TIME) -> DataFrame:
     """Every grid time from the start of ``first`` to the end of the day ``last``.
 
-    The grid is generated year by year, so a long or fine grid is not one huge array.
+    The grid is the starts of hours, days, months or years in that time.  It is generated year by year, so a
+    long or fine grid is not one huge array.
     """
-    start, end = f"TIMESTAMP '{first} 00:00:00'", f"TIMESTAMP '{last} 00:00:00' + INTERVAL 1 DAY"
+    end = f"TIMESTAMP '{last} 00:00:00' + INTERVAL 1 DAY"
     years = spark.range(int(first[:4]), int(last[:4]) + 1).select(F.col("id").cast("int").alias("y"))
-    lo = F.greatest(F.expr(start), F.make_timestamp("y", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    lo = F.greatest(_first_slot(first, freq), F.make_timestamp("y", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
     hi = F.least(F.expr(end), F.make_timestamp(F.col("y") + 1, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-    grid = years.select(F.explode(F.sequence(lo, hi, F.expr(STEPS[freq]))).alias(name), hi.alias("_hi"))
+    grid = years.where(lo < hi).select(F.explode(F.sequence(lo, hi, F.expr(STEPS[freq]))).alias(name), hi.alias("_hi"))
     return grid.where(F.col(name) < F.col("_hi")).select(name)
 
 
@@ -87,7 +88,29 @@ def all_null_columns(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return null_counts(df, columns).where(F.col("missing") == F.col("rows")).select("column", "rows")
 
 
-def validate_series(
+# Calendar unit in which a series of a frequency is summarised: some hundred grid times.
+BLOCKS = {"hour": "month", "day": "year", "month": "year", "year": "year"}
+
+
+def grid_size(first: str, last: str, freq: str) -> int:
+    """Grid times from the start of ``first`` to the end of the day ``last``."""
+    a, b = date.fromisoformat(first), date.fromisoformat(last)
+    days = max((b - a).days + 1, 0)
+    if freq in ("hour", "day"):
+        return days * (24 if freq == "hour" else 1)
+    # Starts of months or years: those up to the last day without those before the first.
+    months = [12 * d.year + d.month for d in (a - timedelta(days=1), b)]
+    return max(months[1] - months[0], 0) if freq == "month" else max(b.year - (a - timedelta(days=1)).year, 0)
+
+
+def _first_slot(first: str, freq: str) -> Column:
+    """The first grid time at or after the start of ``first``."""
+    start = F.expr(f"TIMESTAMP '{first} 00:00:00'")
+    unit = F.date_trunc(freq, start)
+    return F.when(unit == start, start).otherwise(unit + F.expr(STEPS[freq]))
+
+
+def series_report(
     df: DataFrame,
     first: str,
     last: str,
@@ -95,56 +118,114 @@ def validate_series(
     time: str = TIME,
     columns: Sequence[str] | None = None,
     position: str | None = None,
+    fingerprint: bool = False,
 ) -> DataFrame:
-    """One row: rows, expected_rows, nan_counts, and every structural problem joined by "; ".
+    """One row about a series, from one scan: what ``validate_series`` reports, the time range, and the fingerprint.
 
-    ``problems`` is NULL for a valid series.  Missing values are counted, not a problem, unless a
-    column holds nothing else.  The order check needs the input ``position``.
+    Rows are aggregated by time, times are summarised in order within calendar blocks (first and last grid time,
+    first gap, smallest and largest position), and only the block summaries meet.  No calendar is built or
+    joined: a gap is a grid time that does not follow the one before it by one step.
     """
     measures = list(columns or [c for c in df.columns if c not in (time, position)])
     kinds = dict(df.dtypes)
-    spark = df.sparkSession
-    totals = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.map_from_arrays(
-            F.array(*[F.lit(c) for c in measures]),
-            F.array(*[F.count_if(is_missing(c, kinds[c])) for c in measures]),
-        ).alias("nan_counts"),
+    step, start = F.expr(STEPS[freq]), _first_slot(first, freq)
+    end = F.expr(f"TIMESTAMP '{last} 00:00:00' + INTERVAL 1 DAY")
+    adds = {f"_m{i}": is_missing(c, kinds[c]).cast("long") for i, c in enumerate(measures)}
+    if fingerprint:
+        digest = F.sha2(row_text(measures, time), 256)
+        adds |= {f"_w{i}": F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)}
+    place = F.lit(None).cast("long") if position is None else F.col(position).cast("long")
+    rows = df.select(F.col(time).cast("timestamp").alias("_t"), place.alias("_p"), *[v.alias(n) for n, v in adds.items()])
+    per_time = rows.groupBy(F.date_trunc(BLOCKS[freq], "_t").alias("_block"), "_t").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_p0"), F.max("_p").alias("_p1"), *[F.sum(n).alias(n) for n in adds]
     )
-    grid = expected_times(spark, first, last, freq, time).agg(F.count(F.lit(1)).alias("expected_rows"))
-
-    def problem(rank: int, source: DataFrame, when: Column, text: Column) -> DataFrame:
-        return source.where(when).select(F.lit(rank).alias("rank"), text.alias("text"))
-
-    empty = F.map_filter("nan_counts", lambda k, v: v == F.col("rows"))
-    found = [
-        problem(0, duplicate_timestamps(df, time), F.col("duplicates") > 0,
-                F.format_string("%d duplicated timestamps", "duplicates")),
-        problem(2, missing_hours(df, first, last, freq, time), F.col("missing") > 0,
-                F.format_string("%d missing hours, first: %s", "missing", "first")),
-        problem(3, unexpected_timestamps(df, first, last, freq, time), F.col("unexpected") > 0,
-                F.format_string("%d unexpected timestamps, first: %s", "unexpected", "first")),
-        problem(4, totals, (F.size(empty) > 0) & (F.col("rows") > 0),
-                F.concat(F.lit("columns entirely NaN: "), F.array_join(F.map_keys(empty), ", "))),
-    ]
-    if position is not None:
-        found.append(
-            problem(1, unsorted_check(df, position, time), ~F.col("is_sorted"), F.lit("timestamps are not sorted"))
+    t = F.col("_t")
+    regular = F.coalesce((F.date_trunc(freq, t) == t) & (t >= start) & (t < end), F.lit(False))
+    on_grid = per_time.withColumn("_g", F.when(regular, t))
+    order = Window.partitionBy("_block").orderBy("_t")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.max("_g").over(before) + step
+    walked = on_grid.withColumns({
+        "_gap": F.when(previous < F.col("_g"), previous),
+        "_back": F.coalesce(F.max("_p1").over(before) > F.col("_p0"), F.lit(False)),
+    })
+    # A block sums at most some hundred times; words of its rows may pass 64 bits over all of them.
+    wide = "decimal(28,0)"
+    blocks = walked.groupBy("_block").agg(
+        F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_times"), F.count("_g").alias("_held"),
+        F.min("_g").alias("_g0"), F.max("_g").alias("_g1"), F.min("_gap").alias("_gap"),
+        F.min(F.when(F.col("_g").isNull(), t)).alias("_odd"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"),
+        F.min("_p0").alias("_p0"), F.max("_p1").alias("_p1"), F.bool_or("_back").alias("_back"),
+        *[F.sum(F.col(n).cast(wide)).alias(n) for n in adds],
+    )
+    # One row a block of the calendar.
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    between = F.max("_g1").over(earlier) + step
+    merged = blocks.withColumns({
+        "_between": F.when(between < F.col("_g0"), between),
+        "_back": F.col("_back") | F.coalesce(F.max("_p1").over(earlier) > F.col("_p0"), F.lit(False)),
+    })
+    total = merged.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.col("_rows") - F.col("_times")), F.lit(0)).alias("duplicates"),
+        F.coalesce(F.sum("_held"), F.lit(0)).alias("_held"),
+        F.coalesce(F.sum(F.col("_times") - F.col("_held")), F.lit(0)).alias("unexpected"),
+        F.min("_g0").alias("_g0"), F.max("_g1").alias("_g1"), F.least(F.min("_gap"), F.min("_between")).alias("_gap"),
+        F.min("_odd").alias("_odd"), F.min("_t0").alias("_t0"), F.max("_t1").alias("_t1"),
+        F.coalesce(F.bool_or("_back"), F.lit(False)).alias("unsorted"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in adds],
+    )
+    tail = F.col("_g1") + step
+    lead = F.when(F.col("_g0").isNull() | (F.col("_g0") > start), start)
+    names = F.array(*[F.lit(c) for c in measures]).cast("array<string>")
+    missed = F.array(*[F.col(f"_m{i}").cast("long") for i in range(len(measures))]).cast("array<bigint>")
+    sums = [F.col(f"_w{i}").cast("string") for i in range(8 if fingerprint else 0)]
+    return total.select(
+        "rows", F.lit(grid_size(first, last, freq)).cast("long").alias("expected_rows"),
+        F.map_from_arrays(names, missed).alias("nan_counts"), "duplicates", "unsorted",
+        (F.lit(grid_size(first, last, freq)) - F.col("_held")).cast("long").alias("missing"),
+        F.coalesce(lead, F.col("_gap"), F.when(tail < end, tail)).alias("first_missing"),
+        "unexpected", F.col("_odd").alias("first_unexpected"), F.array("_t0", "_t1").alias("time_range"),
+        *([F.sha2(F.concat_ws(",", F.col("rows").cast("string"), *sums), 256).alias("content_sha256")] if fingerprint else []),
+    )
+
+
+def problems_of(report: DataFrame) -> Column:
+    """Every structural problem a ``series_report`` tells, joined by "; "; NULL if there is none."""
+    stamped = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    empty = F.map_filter(report["nan_counts"], lambda k, v: v == F.col("rows"))
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("duplicates") > 0, F.format_string("%d duplicated timestamps", "duplicates")),
+            F.when(F.col("unsorted"), F.lit("timestamps are not sorted")),
+            F.when(F.col("missing") > 0, F.format_string("%d missing hours, first: %s", "missing", stamped("first_missing"))),
+            F.when(F.col("unexpected") > 0, F.format_string("%d unexpected timestamps, first: %s", "unexpected", stamped("first_unexpected"))),
+            F.when(
+                (F.size(empty) > 0) & (F.col("rows") > 0),
+                F.concat(F.lit("columns entirely NaN: "), F.array_join(F.map_keys(empty), ", ")),
+            ),
         )
-    problems = found[0]
-    for other in found[1:]:
-        problems = problems.unionByName(other)
-    # At most five one-line problems: the list is bounded by the number of checks.
-    joined = problems.agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("all")).select(
-        F.when(F.size("all") > 0, F.array_join(F.col("all.text"), "; ")).alias("problems")
-    )
-    one = F.lit(1)
-    return (
-        totals.withColumn("_one", one)
-        .join(grid.withColumn("_one", one), "_one")
-        .join(joined.withColumn("_one", one), "_one")
-        .select("rows", "expected_rows", "nan_counts", "problems")
     )
+    return F.when(F.size(found) > 0, F.array_join(found, "; "))
+
+
+def validate_series(
+    df: DataFrame,
+    first: str,
+    last: str,
+    freq: str = "hour",
+    time: str = TIME,
+    columns: Sequence[str] | None = None,
+    position: str | None = None,
+) -> DataFrame:
+    """One row: rows, expected_rows, nan_counts, and every structural problem joined by "; ".
+
+    ``problems`` is NULL for a valid series.  Missing values are counted, not a problem, unless a
+    column holds nothing else.  The order check needs the input ``position``: in its order no time may
+    come before an earlier one.
+    """
+    report = series_report(df, first, last, freq, time, columns, position)
+    return report.select("rows", "expected_rows", "nan_counts", problems_of(report).alias("problems"))
 
 
 def row_text(columns: Sequence[str], time: str = TIME) -> Column:

@@ -96,14 +96,21 @@ SERIES_D = T.StructType(
 
 
 def complete_days(t: Tables):
-    """The daily series with its empty days filled, so that it validates."""
+    """The daily series with its empty days filled, so that it validates; ``pos`` is the place in the input."""
     filled = R.fill_bins(t.series_d, "day", zero=["n"], column="time")
-    return filled.select("time", "v", "s", F.col("n").cast("long").alias("n"))
+    place = F.datediff("time", F.lit(FIRST))
+    return filled.select("time", "v", "s", F.col("n").cast("long").alias("n"), place.alias("pos"))
+
+
+def store(t: Tables, rows, path: str) -> None:
+    src.write_series_validated(rows, path, {"v": "EUR", "s": "EUR"}, FIRST, LAST, "day", position="pos", request={"place": "shop"})
 
 
 def stored_series(t: Tables) -> str:
+    """Two published versions of a series, the second one complete and in order."""
     path = t.fresh("series")
-    src.write_series_validated(complete_days(t), path, {"v": "EUR", "s": "EUR"}, FIRST, LAST, "day")
+    store(t, complete_days(t).withColumn("v", F.col("v") + 1), path)
+    store(t, complete_days(t), path)
     return path
 
 
@@ -117,7 +124,7 @@ DAYS = """SELECT CAST(range AS TIMESTAMP) AS day
         FROM ({DAYS}) LEFT JOIN series_d ON time = day""",
 )
 def write_series_validated(t: Tables):
-    back = src.read_series(t.spark, stored_series(t) + "/series", SERIES_D)
+    back = src.read_published(t.spark, stored_series(t), SERIES_D)
     return back.select(F.date_format("time", "yyyy-MM-dd").alias("day"), r("v", 6).alias("v"), r("s", 2).alias("s"), "n")
 
 
@@ -125,7 +132,7 @@ def write_series_validated(t: Tables):
     "build_manifest",
     f"""SELECT 'UTC' AS timezone, 'EUR' AS unit_v, '1995-01-01 00:00' AS first, '2001-08-01 00:00' AS last,
           CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS expected_rows,
-          CAST(count(*) - count(v) AS BIGINT) AS missing_v
+          CAST(count(*) - count(v) AS BIGINT) AS missing_v, CAST(1 AS BIGINT) AS version, 'shop' AS place
         FROM ({DAYS}) LEFT JOIN series_d ON time = day""",
 )
 def build_manifest(t: Tables):
@@ -138,9 +145,41 @@ def build_manifest(t: Tables):
         "rows",
         "expected_rows",
         m["nan_counts"]["v"].alias("missing_v"),
+        "version",
+        m["request"]["place"].alias("place"),
     )
 
 
+@query(
+    "write_gate",
+    """SELECT unnest(['in order', 'swapped', 'a day short', 'a day twice', 'a day late']) AS kind,
+         unnest([NULL, 'timestamps are not sorted', '1 missing hours, first: 1996-05-05 00:00', '1 duplicated timestamps',
+                 '1 missing hours, first: 1995-01-01 00:00; 1 unexpected timestamps, first: 2001-08-02 00:00']) AS refused,
+         2 AS readable""",
+)
+def write_gate(t: Tables):
+    """What the gate says of payloads with one fault each, and the version readers see afterwards."""
+    path, good = t.fresh("gate"), complete_days(t)
+    day = lambda text: F.col("time") == F.lit(text).cast("timestamp")
+    tries = {
+        "in order": good,
+        "swapped": good.withColumn("pos", F.when(F.col("pos").isin(40, 41), 81 - F.col("pos")).otherwise(F.col("pos"))),
+        "a day short": good.where(~day("1996-05-05")),
+        "a day twice": good.unionByName(good.where(day("1996-05-05"))),
+        "a day late": good.withColumn("time", F.col("time") + F.expr("INTERVAL 1 DAY")),
+    }
+    store(t, good.withColumn("v", F.lit(1.0)), path)
+    out = []
+    for kind, rows in tries.items():
+        try:
+            store(t, rows, path)
+            refused = None
+        except ValueError as e:
+            refused = str(e).removeprefix("dataset failed validation: ")
+        out.append((kind, refused, src.read_manifest(t.spark, path).first()["version"] + 1))
+    return t.spark.createDataFrame(out, "kind string, refused string, readable int")
+
+
 @query(
     "check_manifest",
     f"SELECT true AS ok, CAST(count(*) AS BIGINT) AS rows FROM ({DAYS})",

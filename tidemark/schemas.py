@@ -45,6 +45,9 @@ MANIFEST = T.StructType(
         T.StructField("expected_rows", T.LongType()),
         T.StructField("nan_counts", T.MapType(T.StringType(), T.LongType())),
         T.StructField("content_sha256", T.StringType()),
+        T.StructField("version", T.LongType()),
+        T.StructField("folder", T.StringType()),
+        T.StructField("request", T.MapType(T.StringType(), T.StringType())),
     ]
 )
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.quality import content_hash, validate_series
+from ..operators.quality import content_hash, problems_of, series_report
 from ..operators.slices import TIME
 from ..schemas import MANIFEST, MEASURES, SERIES, payload_schema
 
@@ -59,22 +61,24 @@ def parse_payloads(
 
 
 def build_manifest(
-    df: DataFrame, units: dict[str, str], first: str, last: str, freq: str = "hour", time: str = TIME
+    df: DataFrame,
+    units: dict[str, str],
+    first: str,
+    last: str,
+    freq: str = "hour",
+    time: str = TIME,
+    position: str | None = None,
 ) -> DataFrame:
-    """One row that describes exactly which data was stored."""
-    measures = [c for c in df.columns if c != time]
-    report = validate_series(df, first, last, freq, time, measures)
-    span = df.agg(F.array(F.min(time).cast("timestamp"), F.max(time).cast("timestamp")).alias("time_range"))
+    """One row that describes exactly which data was stored, from one scan of it.
+
+    ``position`` is the place of a record in the input, for the order check; it is no measure.
+    """
+    measures = [c for c in df.columns if c not in (time, position)]
+    report = series_report(df, first, last, freq, time, measures, position, fingerprint=True)
     named = F.create_map(*[x for m in measures for x in (F.lit(m), F.lit(units.get(m)).cast("string"))])
-    one = F.lit(1)
-    return (
-        report.withColumn("_one", one)
-        .join(span.withColumn("_one", one), "_one")
-        .join(content_hash(df, measures, time).drop("rows").withColumn("_one", one), "_one")
-        .select(
-            F.lit("UTC").alias("timezone"), named.alias("variables"), "time_range", "rows", "expected_rows",
-            "nan_counts", "content_sha256", "problems",
-        )
+    return report.select(
+        F.lit("UTC").alias("timezone"), named.alias("variables"), "time_range", "rows", "expected_rows",
+        "nan_counts", "content_sha256", problems_of(report).alias("problems"),
     )
 
 
@@ -87,31 +91,62 @@ def write_series_validated(
     freq: str = "hour",
     time: str = TIME,
     partition_by: Sequence[str] = (),
+    position: str | None = None,
+    request: dict[str, str] | None = None,
 ) -> None:
     """Validate first; raise and write nothing if there is a structural problem.
 
-    Writes ``path/series`` (partitioned by year unless told otherwise) and ``path/manifest``.
+    A version is published in two steps: its records go to a folder of their own, ``path/series-<n>``, then
+    its manifest is added to ``path/manifest``.  Readers follow the newest manifest, so until it is there, and
+    for ever if the writer fails before, they see the version before.  Records are laid out by
+    ranges of time (by year unless told otherwise), whatever their number; ``position`` is not stored.
+    ``request`` says what was asked for, such as the place.
     """
-    described = build_manifest(df, units, first, last, freq, time)
+    spark = df.sparkSession
+    described = build_manifest(df, units, first, last, freq, time, position)
     row = described.first()  # one row, by construction
     if row["problems"] is not None:
         raise ValueError("dataset failed validation: " + row["problems"])
-    manifest = df.sparkSession.createDataFrame([row], described.schema)
-    stored = df if partition_by else df.withColumn("year", F.year(time))
+    newest = read_manifest(spark, path).select("version").first()
+    version = newest["version"] + 1 if newest else 0
+    # A failed writer may have left a folder of this number; no manifest names it.
+    folder = f"series-{version}-{uuid.uuid4().hex[:8]}"
+    stored = df.drop(position) if position else df
+    stored = stored if partition_by else stored.withColumn("year", F.year(time))
     by = list(partition_by) or ["year"]
-    # Cluster by the partition column and month, so a year is written by twelve tasks, not by all.
-    stored.repartition(*by, F.month(time)).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/series")
-    manifest.drop("problems").write.mode("overwrite").json(f"{path}/manifest")
+    ranged = stored.repartitionByRange(*by, time).sortWithinPartitions(*by, time)
+    ranged.write.partitionBy(*by).parquet(f"{path}/{folder}")
+    asked = {"first": first, "last": last, "freq": freq} | (request or {})
+    manifest = spark.createDataFrame([row], described.schema).drop("problems")
+    manifest = manifest.withColumns({
+        "version": F.lit(version).cast("long"), "folder": F.lit(folder),
+        "request": F.create_map(*[F.lit(x) for kv in asked.items() for x in kv]),
+    })
+    manifest.write.mode("append").json(f"{path}/manifest")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    """The newest manifest, one row; no row if nothing has been published."""
+    try:
+        every = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        every = spark.createDataFrame([], MANIFEST)
+    # Of two writers that took the same number the folder decides, the same for every reader.
+    return every.orderBy(F.desc("version"), F.desc("folder")).limit(1)
+
+
+def read_published(spark: SparkSession, path: str, schema: T.StructType = SERIES) -> DataFrame:
+    """The records of the newest version that has a manifest; an empty table if there is none."""
+    newest = read_manifest(spark, path).select("folder").first()
+    return read_series(spark, f"{path}/{newest['folder']}", schema) if newest else spark.createDataFrame([], schema)
 
 
 def check_manifest(spark: SparkSession, path: str, schema: T.StructType = SERIES, time: str = TIME) -> DataFrame:
-    """(ok, message): recompute the fingerprint of the stored series and compare."""
+    """(ok, message): recompute the fingerprint of the published series and compare; no row if nothing is published."""
     measures = [f.name for f in schema.fields if f.name != time]
-    actual = content_hash(read_series(spark, f"{path}/series", schema), measures, time)
+    actual = content_hash(read_published(spark, path, schema), measures, time)
     actual = actual.select(F.col("content_sha256").alias("actual"), F.lit(1).alias("_one"))
     stored = read_manifest(spark, path).select("rows", "content_sha256", F.lit(1).alias("_one"))
     ok = F.col("actual") == F.col("content_sha256")
