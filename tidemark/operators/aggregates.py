@@ -76,97 +76,81 @@ def _quantile_name(q: float) -> str:
     return f"q{q:g}"
 
 
-# Cells of one level.  Two levels of them below a logarithmic first one leave fewer than 32,768 different
-# doubles in a cell, whatever the values are.
-_CELLS = 65_536
-_OCTAVE = 64.0
+# Cells of an octave and a half: values that differ by more than a part in sixteen thousand are in different ones.
+_CELLS = 16_384
 
 
-def _first_cell(v: Column) -> Column:
+def _cell(v: Column) -> Column:
     """A nondecreasing cell number of any double: by sign and logarithm."""
-    size = F.floor(F.ln(F.abs(v)) * _OCTAVE) + 50_000  # above zero for every double but zero
-    return F.when(v == 0, F.lit(0)).otherwise(F.when(v > 0, size).otherwise(-size)).cast("long")
+    size = F.floor(F.least(F.ln(F.abs(v)), F.lit(1_000.0)) * _CELLS) + 750 * _CELLS  # above zero for every double but zero
+    cell = F.when(v == 0, F.lit(0)).otherwise(F.when(v > 0, size).otherwise(-size)).cast("long")
+    # Never NULL: a join would filter one side by that and so read the counted values twice.
+    return F.coalesce(cell, F.lit(0).cast("long"))
 
 
-def _inner_cell(v: Column, low: Column, high: Column) -> Column:
-    """Which of the equal parts of [low, high] a value lies in; nondecreasing in the value."""
-    return F.when(high > low, F.floor((v - low) / (high - low) * (_CELLS - 1))).otherwise(F.lit(0)).cast("long")
+def count_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys.., value, n): how often each value occurs in a group; NULL and NaN are skipped."""
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    return df.select(*keys, v.alias(value)).where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation of groups of any size, one row per group.
-
-    ``percentile`` keeps every distinct value of a group in one task.  Here values are counted (combined on
-    the map side) and each rank is found by refinement: the counts of a bounded number of cells say which
-    cell holds it, then only the values of that cell go on.  The last ordered step sees at most 32,768
-    different values.  There is one path for every size, and no keys at all is one group.  NULL and NaN are
-    skipped; a NULL key is a group.
-    """
-    keys, n_targets = list(keys), 2 * len(qs)
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], n: str = "n") -> DataFrame:
+    """``exact_quantiles`` of values that come with their number; rows of one value and group add up."""
+    keys = list(keys)
     v = F.col("_v")
-    counted = (
-        df.select(*keys, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"))
-        .where(v.isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_cell", _first_cell(v))
-    )
-    cells = counted.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    # A struct of keys is never NULL itself and equal where its NULLs are, so it can be joined by.
+    group = F.struct(*keys) if keys else F.lit(0)
+    dealt = counts.select(group.alias("_k"), F.col(value).cast("double").alias("_v"), F.col(n).alias("_c")).withColumn("_cell", _cell(v))
+    upto = F.sum("_c").over(Window.partitionBy("_k", "_cell").orderBy("_v"))  # equal values are peers
+    placed = dealt.withColumn("_upto", upto)
+    # The cells of a group in order: bounded by their width, whatever the group holds.
+    in_order = Window.partitionBy("_k").orderBy("_cell")
+    cells = placed.groupBy("_k", "_cell").agg(F.max("_upto").alias("_held"))
+    cells = cells.withColumn("_below", F.sum("_held").over(in_order) - F.col("_held")).withColumn("_n", F.sum("_held").over(Window.partitionBy("_k")))
     # Ranks wanted: for each quantile the one below its position and the one above.
-    group = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cells = cells.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(group))
     positions = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
     ranks = [r.cast("long") for x in positions for r in (F.floor(x), F.ceil(x))]
-    targets = F.array(*[F.struct(F.lit(t).alias("t"), r.alias("r")) for t, r in enumerate(ranks)])
-    here = F.filter(targets, lambda x: (x["r"] < F.col("_upto")) & (x["r"] >= F.col("_upto") - F.col("_c")))
-    wanted = cells.select(*keys, "_n", "_cell", "_low", "_high", (F.col("_upto") - F.col("_c")).alias("_below"), F.explode(here).alias("_x"))
-    wanted = wanted.select(*keys, "_n", "_cell", "_low", "_high", F.col("_x.t").alias("_t"), (F.col("_x.r") - F.col("_below")).alias("_r"))
-
-    inside = _meet(counted, wanted, keys, ["_cell"])
-    for _ in range(2):
-        inside = inside.withColumn("_cell", _inner_cell(v, F.col("_low"), F.col("_high")))
-        found = inside.groupBy(*keys, "_n", "_t", "_r", "_cell").agg(
-            F.sum("_c").alias("_c"), F.min("_v").alias("_newlow"), F.max("_v").alias("_newhigh")
-        )
-        found = _holding_rank(found, keys, "_cell")
-        found = found.select(*keys, "_t", "_cell", F.col("_r").alias("_newr"), F.col("_newlow"), F.col("_newhigh"))
-        inside = _meet(inside, found, keys, ["_t", "_cell"]).select(
-            *keys, "_n", "_t", "_v", "_c", F.col("_newr").alias("_r"), F.col("_newlow").alias("_low"), F.col("_newhigh").alias("_high")
-        )
-    values = _holding_rank(inside.select(*keys, "_n", "_t", "_r", "_v", "_c"), keys, "_v")
-    per = values.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(F.when(F.col("_t") == t, v)).alias(f"_v{t}") for t in range(n_targets)])
+    held = [F.when((r >= F.col("_below")) & (r < F.col("_below") + F.col("_held")), r - F.col("_below")) for r in ranks]
+    targets = [f"_r{t}" for t in range(len(ranks))]
+    wanted = cells.select("_k", "_cell", "_n", *[h.alias(t) for h, t in zip(held, targets, strict=True)])
+    inside = placed.join(wanted.where(F.coalesce(*targets).isNotNull()), ["_k", "_cell"])
+    # A rank is reached by the values with more rows up to them; the smallest of them holds it.
+    reached = [F.min(F.when(F.col(f"_r{t}") < F.col("_upto"), v)).alias(f"_v{t}") for t in range(len(ranks))]
+    per = inside.groupBy("_k").agg(F.max("_n").alias("_n"), *reached)
     out = []
     for i, (q, x) in enumerate(zip(qs, positions, strict=True)):
         low, high = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
         between = low + (high - low) * (x - F.floor(x))
         out.append(F.when(low == high, low).otherwise(between).alias(_quantile_name(q)))
-    return per.where(F.col("_n").isNotNull()).select(*keys, *out)
+    return per.where(F.col("_n").isNotNull()).select(*[F.col(f"_k.`{k}`").alias(k) for k in keys], *out)
 
 
-def _meet(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], on: Sequence[str]) -> DataFrame:
-    """Rows of the wanted cells, with what is wanted of them; NULL keys are equal."""
-    named = wanted.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, *on)], *[c for c in wanted.columns if c not in (*keys, *on)])
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(k) == F.col(f"_k_{k}") for k in on]
-    return rows.join(named, same).drop(*[f"_k_{k}" for k in (*keys, *on)])
-
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation of groups of any size, one row per group.
 
-def _holding_rank(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Of ordered counts the row that holds the rank wanted; the rank becomes the one within that row."""
-    ordered = Window.partitionBy(*keys, "_t").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = counts.withColumn("_upto", F.sum("_c").over(ordered))
-    held = upto.where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c")))
-    return held.withColumn("_r", F.col("_r") - (F.col("_upto") - F.col("_c"))).drop("_upto")
+    ``percentile`` keeps every distinct value of a group in one task.  Here values are counted (combined on
+    the map side) and dealt into cells by their logarithm; values are ordered within a cell only, the sums
+    of the cells tell which cell holds a rank, and all ranks are looked up in the same pass.  The counted
+    values move twice, however many quantiles are asked for; all else is one row a cell or a group.  There is
+    one path for every size, and no keys at all is one group.  NULL and NaN are skipped; a NULL key is a group.
+    """
+    return quantiles_of_counts(count_values(df, keys, value), keys, value, qs)
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Exact medians of several columns in the same passes: one row per group."""
+    """Exact medians of several columns in the same pass: one row per group."""
     keys = list(keys)
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]
-    )
-    long = df.select(*keys, F.inline(pairs))
-    halves = exact_quantiles(long, [*keys, "name"], "value", [0.5])
+    long = df.select(*keys, F.inline(F.array(*named_values(columns))))
+    return medians_by_name(count_values(long, [*keys, "name"], "value"), keys, columns)
+
+
+def named_values(columns: Sequence[str]) -> list[Column]:
+    return [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]
+
+
+def medians_by_name(counts: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One column per name of ``counts(keys.., name, value, n)``: its median."""
+    halves = quantiles_of_counts(counts, [*keys, "name"], "value", [0.5])
     return halves.groupBy(*keys).agg(
         *[F.max(F.when(F.col("name") == c, F.col("`q0.5`"))).alias(c) for c in columns]
     )

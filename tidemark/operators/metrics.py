@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import exact_medians, exact_quantiles
+from .aggregates import exact_medians, exact_quantiles, medians_by_name, named_values
 
 KS = (1, 5, 10)
 
@@ -129,6 +129,11 @@ def tool_status_rates(runs: DataFrame, keys: Sequence[str] = ("config",)) -> Dat
 
 def map_counter_totals(runs: DataFrame, keys: Sequence[str] = ("config",)) -> DataFrame:
     """(keys.., counter, kind, n): stop reasons, plan states, violations and limits in one pass."""
+    return runs.select(*keys, F.inline(counter_cells())).groupBy(*keys, "counter", "kind").agg(F.sum("n").alias("n"))
+
+
+def counter_cells() -> Column:
+    """All counters of a run as an array of (counter, kind, n)."""
 
     def single(counter: str, kind: Column) -> Column:
         return F.transform(
@@ -144,10 +149,9 @@ def map_counter_totals(runs: DataFrame, keys: Sequence[str] = ("config",)) -> Da
 
     stop = F.coalesce(F.when(F.col("stop_reason") != "", F.col("stop_reason")), F.lit("none"))
     plan = F.when(F.col("plan_status") != "", F.col("plan_status"))
-    cells = F.concat(
+    return F.concat(
         single("stop_reasons", stop), single("plan_status", plan), entries("sandbox_violations"), entries("sandbox_limits")
     )
-    return runs.select(*keys, F.inline(cells)).groupBy(*keys, "counter", "kind").agg(F.sum("n").alias("n"))
 
 
 def sandbox_events(runs: DataFrame) -> DataFrame:
@@ -180,11 +184,7 @@ def latency_token_medians(runs: DataFrame, keys: Sequence[str] = ("config",)) ->
     return medians.join(totals, list(keys))
 
 
-def _as_map(counters: DataFrame, counter: str, keys: Sequence[str]) -> DataFrame:
-    """One map per group; its keys are the states of an enumeration, so it stays small."""
-    rows = counters.where(F.col("counter") == counter)
-    pairs = F.array_sort(F.collect_list(F.struct("kind", "n")))
-    return rows.groupBy(*keys).agg(F.map_from_entries(pairs).alias(counter))
+COUNTERS = ("stop_reasons", "plan_status", "sandbox_violations", "sandbox_limits")
 
 
 def summarize_runs(
@@ -193,49 +193,79 @@ def summarize_runs(
     """All metrics, one row per configuration.
 
     ``pass@1`` is the mean over questions; the share over runs is ``pass_rate``.  pass@k is NULL when
-    some question has fewer than k runs.
+    some question has fewer than k runs.  ``with_maps`` needs the counter columns of the runs.
+
+    Two passes over the runs.  The first one is grouped by question and answer, then by question: everything
+    that adds up, the spread of the numbers and the most common answer come from it.  The second one counts
+    values of the columns of which medians are wanted and entries of the counters, as rows of one table; the
+    spreads of the questions join it, so all medians are looked up together.
     """
-    keys = list(keys)
-    # One pass over the runs for everything that adds up; questions are rolled up afterwards.
-    questions = runs.groupBy(*keys, "question_id").agg(
+    # One key that is never NULL: a join on it puts no filter below one side only, which would read the runs again.
+    runs = runs.withColumn("_k", F.struct(*keys))
+    kinds = ("schema_violation", "rule_violation", "invalid_json")
+    # All sums of a row in one value: both uses of the base keep the same columns, so it is computed once.
+    numbers = F.count("got_number")
+    sums = F.array(F.struct(
         F.count(F.lit(1)).alias("n"),
         F.count_if("correct").alias("c"),
         F.sum(_total("tool_status_counts")).alias("calls"),
-        *[
-            F.sum(_counter("tool_status_counts", k)).alias(k)
-            for k in ("schema_violation", "rule_violation", "invalid_json")
-        ],
+        *[F.sum(_counter("tool_status_counts", k)).alias(k) for k in kinds],
         F.sum(_rejections(False)).alias("catches"),
         F.sum(_rejections(True)).alias("false_rejections"),
         F.sum("input_tokens").alias("tin"),
         F.sum("output_tokens").alias("tout"),
+        numbers.alias("numbers"),
+        F.coalesce(F.avg("got_number"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop("got_number") * numbers, F.lit(0.0)).alias("squares"),
+    ))
+    base = runs.groupBy("_k", "question_id", "answer_key").agg(sums.alias("sums"))
+    held = F.element_at("sums", 1)
+    # The squares of a question's numbers about their mean, from those of its answers.
+    question = Window.partitionBy("_k", "question_id")
+    mean = F.sum(held["mean"] * held["numbers"]).over(question) / F.greatest(F.sum(held["numbers"]).over(question), F.lit(1))
+    away = held["squares"] + held["numbers"] * F.pow(held["mean"] - F.col("_mean"), F.lit(2.0))
+    carried = ("n", "c", "calls", *kinds, "catches", "false_rejections", "tin", "tout", "numbers")
+    questions = base.withColumn("_mean", mean).groupBy("_k", "question_id").agg(
+        *[F.sum(held[c]).alias(c) for c in carried],
+        F.sum(away).alias("squares"),
+        F.max(F.when(F.col("answer_key").isNotNull(), held["n"])).alias("modal"),
     )
+    questions = questions.withColumn("sd", F.when(F.col("numbers") >= 2, F.sqrt(F.col("squares") / (F.col("numbers") - 1))))
     enough = {k: F.when(F.col("n") >= k, pass_at_k(F.col("n"), F.col("c"), k)) for k in ks}
-    out = questions.groupBy(*keys).agg(
+    out = questions.groupBy("_k").agg(
         F.sum("n").alias("runs"),
         F.count(F.lit(1)).alias("questions"),
         F.min("n").alias("runs_per_question_min"),
         (F.sum("c") / F.sum("n")).alias("pass_rate"),
         *[F.when(F.min("n") >= k, F.avg(e)).alias(f"pass@{k}") for k, e in enough.items()],
+        F.avg(F.col("modal") / F.col("n")).alias("consistency"),
         F.sum("calls").alias("tool_calls"),
-        rate(F.sum("schema_violation"), F.sum("calls")).alias("tool_schema_violation_rate"),
-        rate(F.sum("rule_violation"), F.sum("calls")).alias("tool_rule_violation_rate"),
-        rate(F.sum("invalid_json"), F.sum("calls")).alias("tool_invalid_json_rate"),
+        *[rate(F.sum(k), F.sum("calls")).alias(f"tool_{k}_rate") for k in kinds],
         F.sum("catches").alias("verifier_correct_catches"),
         F.sum("false_rejections").alias("verifier_false_rejections"),
         F.sum("tin").alias("total_input_tokens"),
         F.sum("tout").alias("total_output_tokens"),
     )
-    out = out.join(consistency(runs, keys), keys, "left").join(answer_spread(runs, keys), keys, "left")
-    medians = exact_medians(runs, keys, list(MEDIANS)).withColumnsRenamed(MEDIANS)
-    out = out.join(medians, keys, "left")
+    none = F.lit(None).cast("string")
+    cells = F.transform(F.array(*named_values(list(MEDIANS))), lambda m: F.struct(m["name"].alias("name"), none.alias("kind"), F.nanvl(m["value"], F.lit(None)).alias("value"), F.lit(1).cast("long").alias("n")))
+    if with_maps:
+        entries = F.transform(counter_cells(), lambda e: F.struct(e["counter"].alias("name"), e["kind"].alias("kind"), F.lit(None).cast("double").alias("value"), e["n"].alias("n")))
+        cells = F.concat(cells, entries)
+    spread = questions.select("_k", F.lit("answer_spread_median").alias("name"), none.alias("kind"), F.col("sd").alias("value"), F.lit(1).cast("long").alias("n"))
+    long = runs.select("_k", F.inline(cells)).unionByName(spread)
+    # Told apart by what was counted, not by a filter on the rows, which would make two scans of one.
+    counted = long.groupBy("_k", "name", "kind", "value").agg(F.sum("n").alias("n"), F.count("value").alias("valued"))
+    names = [*MEDIANS, "answer_spread_median"]
+    medians = medians_by_name(counted.where(F.col("valued") > 0), ["_k"], names).withColumnsRenamed(MEDIANS)
+    out = out.join(medians, "_k", "left")
     if with_maps:
-        counters = map_counter_totals(runs, keys)
-        for counter in ("stop_reasons", "plan_status", "sandbox_violations", "sandbox_limits"):
-            out = out.join(_as_map(counters, counter, keys), keys, "left")
-            empty = F.create_map().cast("map<string,bigint>")
-            out = out.withColumn(counter, F.coalesce(F.col(counter), empty))
-    return out
+        # The kinds of a counter are the states of an enumeration, so the maps stay small.
+        pairs = {c: F.collect_list(F.when(F.col("name") == c, F.struct("kind", "n"))) for c in COUNTERS}
+        maps = [F.map_from_entries(F.array_sort(p)).alias(c) for c, p in pairs.items()]
+        out = out.join(counted.where(F.col("valued") == 0).groupBy("_k").agg(*maps), "_k", "left")
+        empty = F.create_map().cast("map<string,bigint>")
+        out = out.withColumns({c: F.coalesce(F.col(c), empty) for c in COUNTERS})
+    return out.select("_k.*", *[F.col(f"`{c}`") for c in out.columns if c != "_k"])
 
 
 def hardest_questions(runs: DataFrame, order: Sequence[str], limit: int = 10) -> DataFrame:

@@ -104,18 +104,21 @@ def counted(counter: str, kind: str, n: str = "count(*)", where: str = "true") -
     return f"SELECT config, '{counter}' AS counter, {kind} AS kind, CAST({n} AS BIGINT) AS n FROM runs_t WHERE {where} GROUP BY 1, 3"
 
 
-@query(
-    "map_counter_totals",
-    " UNION ALL ".join(
-        [
-            counted("stop_reasons", "stop_reason"),
-            counted("plan_status", "plan_status", where="plan_status IS NOT NULL"),
-            counted("sandbox_violations", "'runtime_import'", "sum(runtime_import)", "runtime_import > 0"),
-            counted("sandbox_violations", "'static_import'", "sum(static_import)", "static_import > 0"),
-            counted("sandbox_limits", "'soft_timeout'", "sum(soft_timeout)", "soft_timeout > 0"),
-        ]
-    ),
+COUNTED = " UNION ALL ".join(
+    [
+        counted("stop_reasons", "stop_reason"),
+        counted("plan_status", "plan_status", where="plan_status IS NOT NULL"),
+        counted("sandbox_violations", "'runtime_import'", "sum(runtime_import)", "runtime_import > 0"),
+        counted("sandbox_violations", "'static_import'", "sum(static_import)", "static_import > 0"),
+        counted("sandbox_limits", "'soft_timeout'", "sum(soft_timeout)", "soft_timeout > 0"),
+    ]
 )
+MAPS = "SELECT config, " + ", ".join(
+    f"coalesce(string_agg(concat(kind, '=', n), ' ' ORDER BY kind) FILTER (counter = '{c}'), '') AS {c}" for c in M.COUNTERS
+) + f" FROM ({COUNTED}) GROUP BY config"
+
+
+@query("map_counter_totals", COUNTED)
 def map_counter_totals(t: Tables):
     return M.map_counter_totals(t.runs)
 
@@ -177,11 +180,17 @@ SUMMARY_JOINED = f"""SELECT * FROM ({SUMMARY}) JOIN ({TOTALS}) USING (config) JO
           round(pass_5, 6) AS pass_5, round(pass_10, 6) AS pass_10, round(consistency, 6) AS consistency,
           round(spread, 6) AS answer_spread_median, tool_calls, round(schema_rate, 6) AS schema_rate,
           round(rule_rate, 6) AS rule_rate, catches, false_rejections, tin, tout, round(latency, 6) AS latency,
-          round(mtin, 2) AS mtin, round(mtout, 2) AS mtout
-        FROM ({SUMMARY_JOINED})""",
+          round(mtin, 2) AS mtin, round(mtout, 2) AS mtout, {', '.join(M.COUNTERS)}
+        FROM ({SUMMARY_JOINED}) JOIN ({MAPS}) USING (config)""",
 )
 def summarize_runs(t: Tables):
-    return shown_summary(M.summarize_runs(t.runs, with_maps=False))
+    return shown_summary(M.summarize_runs(t.runs))
+
+
+def entries(counter: str):
+    """A counter map as text, its kinds in order."""
+    pairs = F.array_sort(F.map_entries(counter))
+    return F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), " ").alias(counter)
 
 
 def shown_summary(s):
@@ -193,7 +202,7 @@ def shown_summary(s):
         F.col("verifier_correct_catches").alias("catches"), F.col("verifier_false_rejections").alias("false_rejections"),
         F.col("total_input_tokens").alias("tin"), F.col("total_output_tokens").alias("tout"),
         r("median_latency_s", 6).alias("latency"), r("median_input_tokens", 2).alias("mtin"),
-        r("median_output_tokens", 2).alias("mtout"),
+        r("median_output_tokens", 2).alias("mtout"), *[entries(c) for c in M.COUNTERS],
     )
 
 
@@ -540,14 +549,18 @@ def write_regraded(t: Tables):
 
 @query(
     "write_summary",
-    f"SELECT config, runs, questions, round(pass_1, 6) AS pass_1, round(consistency, 6) AS consistency FROM ({SUMMARY_JOINED})",
+    f"""SELECT config, runs, questions, round(pass_1, 6) AS pass_1, round(consistency, 6) AS consistency, {', '.join(M.COUNTERS)}
+        FROM ({SUMMARY_JOINED}) JOIN ({MAPS}) USING (config)""",
 )
 def write_summary(t: Tables):
     path = t.fresh("summary")
     src.write_summary(M.summarize_runs(t.runs), path)
-    schema = "config string, runs bigint, questions bigint, `pass@1` double, consistency double, stop_reasons map<string,bigint>"
-    back = t.spark.read.schema(schema).json(path)
-    return back.select("config", "runs", "questions", r("`pass@1`", 6).alias("pass_1"), r("consistency", 6).alias("consistency"))
+    maps = ", ".join(f"{c} map<string,bigint>" for c in M.COUNTERS)
+    back = t.spark.read.schema(f"config string, runs bigint, questions bigint, `pass@1` double, consistency double, {maps}").json(path)
+    return back.select(
+        "config", "runs", "questions", r("`pass@1`", 6).alias("pass_1"), r("consistency", 6).alias("consistency"),
+        *[entries(c) for c in M.COUNTERS],
+    )
 
 
 # ------------------------------------------------------------------------------- streaming
