@@ -8,7 +8,7 @@ every rule is a column expression.
 from __future__ import annotations
 
 import ast
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -229,82 +229,134 @@ def _plan_step(s: Column, i: Column) -> Column:
 
 def _plan_note(a: Column, i: Column) -> Column:
     text = _text(a)
-    fits = ~is_blank(text) & (F.length(text) <= 200)
     shaped = _is(a, "STRING")
     wrong = _when(~shaped, "schema", F.concat(F.lit("assumptions."), i.cast("string")), NOT_STRING)
-    return F.struct(shaped.alias("shaped"), F.coalesce(fits, F.lit(False)).alias("fits"), wrong.alias("error"))
+    return F.struct(shaped.alias("shaped"), _fits(text, 200).alias("fits"), wrong.alias("error"))
+
+
+# The type of a document whose fields and items have the right names and types, as ``schema_of_variant`` writes it.
+PLAN_SHAPE = (
+    r"^OBJECT<answerable: BOOLEAN, assumptions: ARRAY<(STRING|VOID)>, expected_unit: (STRING|VOID), interpretation: STRING, "
+    r"steps: ARRAY<(OBJECT<description: STRING, tool: STRING>|VOID)>>$"
+)
+PLAN_TYPE = "struct<interpretation: string, assumptions: array<string>, steps: array<struct<tool: string, description: string>>>"
+MANY_NOTES = "List should have at most 5 items"
+LONG_NOTE = "Value error, each assumption must be 1 to 200 characters"
+FEW_STEPS = "List should have at least 1 item"
+MANY_STEPS = "List should have at most 8 items"
+ENDS_ONCE = "Value error, the plan must contain exactly one submit_answer step, and it must be last"
+
+
+def _fits(text: Column, most: int) -> Column:
+    # A text that starts with a letter or digit is not blank: no search for white space is needed.
+    visible = text.rlike("^[0-9A-Za-z]") | ~is_blank(text)
+    return F.coalesce((F.length(text) <= most) & visible, F.lit(False))
 
 
 def validate_plans(plans: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``status`` and ``errors`` to recorded plan documents.
 
-    The document is taken apart once, step by step, so that every rule reads plain columns.
+    One test of the type of the whole document, and one typed read of it, tell the documents whose fields and
+    items are right; only limits are left to check there, on plain columns.  All other documents are
+    taken apart item by item to name every fault.
     """
-    f, flag, unit = F.col("_f"), F.col("_flag"), F.col("_unit")
-
-    def listed(name: str) -> Column:
-        return F.try_variant_get(_get(f, name), "$", "array<variant>")
-
-    parsed = (
-        plans.withColumn("_doc", parse_lenient(F.col(raw)))
-        .withColumn("_f", _fields("_doc"))
-        .withColumns(
-            {
-                "_flag": _get(f, "answerable"),
-                "_unit": _get(f, "expected_unit"),
-                "_notes": F.when(_is(_get(f, "assumptions"), "ARRAY"), F.transform(listed("assumptions"), _plan_note)),
-                "_steps": F.when(_is(_get(f, "steps"), "ARRAY"), F.transform(listed("steps"), _plan_step)),
-            }
-        )
-        .withColumns(
-            {
-                "_flag_kind": _kind(flag),
-                "_n_notes": F.size("_notes"),
-                "_n_steps": F.size("_steps"),
-                "_notes_shaped": F.forall("_notes", lambda a: a["shaped"]),
-                "_steps_fine": F.forall("_steps", lambda s: F.size(s["errors"]) == 0),
-                "_submits": F.size(F.filter("_steps", lambda s: s["tool"] == "submit_answer")),
-            }
+    typed = F.when(_kind(F.col("_doc")).rlike(PLAN_SHAPE), F.try_variant_get("_doc", "$", PLAN_TYPE))
+    parsed = plans.withColumn("_doc", parse_lenient(F.col(raw))).withColumn("_plan", typed)
+    steps, notes = F.col("_plan.steps"), F.col("_plan.assumptions")
+    # A field that only some items have does not show in the type of the list, nor does a NULL item.
+    fine = F.forall(steps, lambda s: s["tool"].isNotNull() & s["description"].isNotNull()) & (F.size(F.array_compact(notes)) == F.size(notes))
+    parsed = parsed.withColumn("_fine", F.coalesce(fine, F.lit(False)))
+    errors = F.when(F.col("_fine"), _limits(F.col("_plan.interpretation"), notes, steps)).otherwise(_faults(F.col("_doc")))
+    out = _with_errors(parsed, errors, F.lit(True)).withColumn("status", _status(F.lit(True)))
+    return out.select(*plans.columns, "errors", "status")
+
+
+def _limits(interpretation: Column, notes: Column, steps: Column) -> Column:
+    """Errors of a plan whose fields and items have the right types."""
+    size, n_notes, n_steps = F.length(interpretation), F.size(notes), F.size(steps)
+    # Arrays of one field are cheaper than functions of each item; errors of items are made where there are any.
+    tools, sizes = steps["tool"], F.transform(steps["description"], F.length)
+    submits = F.size(tools) - F.size(F.array_remove(tools, "submit_answer"))
+    ends_once = (submits == 1) & (F.try_element_at(tools, F.lit(-1)) == "submit_answer")
+    known = F.size(F.array_except(tools, F.array(*[F.lit(t) for t in TOOLS]))) == 0
+    steps_fine = known & (F.array_min(sizes) >= 1) & (F.array_max(sizes) <= 300)
+
+    def item(s: Column, i: Column) -> Column:
+        at = lambda name: F.concat(F.lit("steps."), i.cast("string"), F.lit("." + name))
+        return F.array_compact(
+            F.array(
+                _when(~s["tool"].isin(*TOOLS), "schema", at("tool"), NOT_TOOL),
+                _when(F.length(s["description"]) < 1, "rule", at("description"), "String should have at least 1 character"),
+                _when(F.length(s["description"]) > 300, "rule", at("description"), "String should have at most 300 characters"),
+            )
         )
-    )
-    kind = F.col("_flag_kind")
-    flag_ok = (
-        (kind == "BOOLEAN")
-        | (kind.rlike(NUMERIC) & F.try_variant_get(flag, "$", "double").isin(0.0, 1.0))
-        | ((kind == "STRING") & F.lower(_text(flag)).isin(*TRUE_FALSE_WORDS))
-    )
-    notes, steps, n_notes, n_steps = (F.col(c) for c in ("_notes", "_steps", "_n_notes", "_n_steps"))
-    few_notes, some_steps = notes.isNotNull() & (n_notes <= 5), steps.isNotNull() & n_steps.between(1, 8)
-    notes_shaped = F.col("_notes_shaped")
-    last_submits = F.try_element_at(steps, F.lit(-1))["tool"] == "submit_answer"
-    ends_once = (F.col("_submits") == 1) & last_submits
-
-    errors = [
-        *_shape(f, PLAN_FIELDS),
-        *_length(f, "interpretation", 1, 500),
-        _when(_has(f, "assumptions") & notes.isNull(), "schema", "assumptions", NOT_LIST),
-        _when(notes.isNotNull() & (n_notes > 5), "rule", "assumptions", "List should have at most 5 items"),
-        _when(
-            few_notes & notes_shaped & F.exists(notes, lambda a: ~a["fits"]), "rule", "assumptions",
-            "Value error, each assumption must be 1 to 200 characters",
-        ),
-        _when(_has(f, "answerable") & ~F.coalesce(flag_ok, F.lit(False)), "schema", "answerable", NOT_BOOL),
-        _when(_has(f, "expected_unit") & ~_null(unit) & ~_is(unit, "STRING"), "schema", "expected_unit", NOT_STRING),
-        _when(_has(f, "steps") & steps.isNull(), "schema", "steps", NOT_LIST),
-        _when(steps.isNotNull() & (n_steps < 1), "rule", "steps", "List should have at least 1 item"),
-        _when(steps.isNotNull() & (n_steps > 8), "rule", "steps", "List should have at most 8 items"),
-        _when(
-            some_steps & F.col("_steps_fine") & ~ends_once, "rule", "steps",
-            "Value error, the plan must contain exactly one submit_answer step, and it must be last",
-        ),
-    ]
-    # An error for each faulty item of the two lists, unless a list is too long to be looked at.
+
+    found = [
+        _when(size < 1, "rule", "interpretation", "String should have at least 1 character"),
+        _when(size > 500, "rule", "interpretation", "String should have at most 500 characters"),
+        _when(n_notes > 5, "rule", "assumptions", MANY_NOTES),
+        _when((n_notes <= 5) & F.exists(notes, lambda a: ~_fits(a, 200)), "rule", "assumptions", LONG_NOTE),
+        _when(n_steps < 1, "rule", "steps", FEW_STEPS),
+        _when(n_steps > 8, "rule", "steps", MANY_STEPS),
+        _when(n_steps.between(1, 8) & steps_fine & ~ends_once, "rule", "steps", ENDS_ONCE),
+    ]
     none = F.expr("array()").cast("array<struct<level:string,path:string,message:string>>")
-    of_notes = F.when(few_notes, F.array_compact(F.transform(notes, lambda a: a["error"])))
-    of_steps = F.when(some_steps, F.flatten(F.transform(steps, lambda s: s["errors"])))
-    more = F.concat(F.coalesce(of_notes, none), F.coalesce(of_steps, none), _extras(f, PLAN_FIELDS))
-    out = _with_errors(parsed, _collect(errors, more), F.lit(True)).withColumn("status", _status(F.lit(True)))
-    return out.select(*plans.columns, "errors", "status")
+    of_items = F.when(n_steps.between(1, 8) & ~steps_fine, F.flatten(F.transform(steps, item))).otherwise(none)
+    return F.concat(F.array_compact(F.array(*found)), of_items)
+
+
+def _faults(doc: Column) -> Column:
+    """Errors of any plan document, from its fields and items one by one."""
+
+    def taken_apart(f: Column) -> Column:
+        flag, unit = _get(f, "answerable"), _get(f, "expected_unit")
+        kind = _kind(flag)
+        flag_ok = (
+            (kind == "BOOLEAN")
+            | (kind.rlike(NUMERIC) & F.try_variant_get(flag, "$", "double").isin(0.0, 1.0))
+            | ((kind == "STRING") & F.lower(_text(flag)).isin(*TRUE_FALSE_WORDS))
+        )
+        listed = lambda name: F.when(_is(_get(f, name), "ARRAY"), F.try_variant_get(_get(f, name), "$", "array<variant>"))
+        lists = F.struct(F.transform(listed("assumptions"), _plan_note).alias("notes"), F.transform(listed("steps"), _plan_step).alias("steps"))
+        first = [*_shape(f, PLAN_FIELDS), *_length(f, "interpretation", 1, 500)]
+        last = [
+            _when(_has(f, "answerable") & ~F.coalesce(flag_ok, F.lit(False)), "schema", "answerable", NOT_BOOL),
+            _when(_has(f, "expected_unit") & ~_null(unit) & ~_is(unit, "STRING"), "schema", "expected_unit", NOT_STRING),
+        ]
+
+        def of_lists(x: Column) -> Column:
+            notes, steps = x["notes"], x["steps"]
+            n_notes, n_steps = F.size(notes), F.size(steps)
+            few_notes, some_steps = notes.isNotNull() & (n_notes <= 5), steps.isNotNull() & n_steps.between(1, 8)
+            submits = F.size(F.filter(steps, lambda s: s["tool"] == "submit_answer"))
+            ends_once = (submits == 1) & (F.try_element_at(steps, F.lit(-1))["tool"] == "submit_answer")
+            steps_fine = F.forall(steps, lambda s: F.size(s["errors"]) == 0)
+            shaped = F.forall(notes, lambda a: a["shaped"])
+            found = [
+                *first,
+                _when(_has(f, "assumptions") & notes.isNull(), "schema", "assumptions", NOT_LIST),
+                _when(notes.isNotNull() & (n_notes > 5), "rule", "assumptions", MANY_NOTES),
+                _when(few_notes & shaped & F.exists(notes, lambda a: ~a["fits"]), "rule", "assumptions", LONG_NOTE),
+                *last,
+                _when(_has(f, "steps") & steps.isNull(), "schema", "steps", NOT_LIST),
+                _when(steps.isNotNull() & (n_steps < 1), "rule", "steps", FEW_STEPS),
+                _when(steps.isNotNull() & (n_steps > 8), "rule", "steps", MANY_STEPS),
+                _when(some_steps & steps_fine & ~ends_once, "rule", "steps", ENDS_ONCE),
+            ]
+            # An error for each faulty item of the two lists, unless a list is too long to be looked at.
+            none = F.expr("array()").cast("array<struct<level:string,path:string,message:string>>")
+            of_notes = F.when(few_notes, F.array_compact(F.transform(notes, lambda a: a["error"])))
+            of_steps = F.when(some_steps, F.flatten(F.transform(steps, lambda s: s["errors"])))
+            return _collect(found, F.concat(F.coalesce(of_notes, none), F.coalesce(of_steps, none), _extras(f, PLAN_FIELDS)))
+
+        return _let(lists, of_lists)
+
+    return _let(F.try_variant_get(doc, "$", "map<string,variant>"), taken_apart)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, and only where the expression is reached."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def validation_errors_long(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
