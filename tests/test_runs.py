@@ -293,10 +293,39 @@ def test_traces_from_files_and_failure_details(spark, tmp_path):
     failed = [("calm_hours", 17), ("mean_wind_2023_ms", 0), ("gone", 1)]
     runs = load(spark, tmp_path, [run(q, False, i, config="loop") for q, i in failed])
     table = {r["question_id"]: r for r in AN.failures_table(runs, question_table(spark), traces, ["run_index"]).collect()}
+    assert [(float(v), c) for v, c in table["calm_hours"]["rejected"]] == [(130.0, "provenance")] and table["gone"]["rejected"] is None
     assert table["calm_hours"]["last_codes"] == ["b", "not json"] and table["calm_hours"]["plan_interpretation"] == "count days"
     assert table["mean_wind_2023_ms"]["intended_trap"] == "unit_kmh" and table["gone"]["intended_trap"] is None
 
 
+def test_trace_files_are_keyed_by_their_path(spark, tmp_path):
+    place = str(tmp_path / "files")
+    rows = [("loop", "a_b", 3, "x"), ("loop", "c", None, "no run"), ("full", "a_b", 3, "y"), ("full", "long_name_7", 12, "z")]
+    made = spark.createDataFrame(rows, "config string, question_id string, run_index long, error string")
+    src.write_trace_files(made, place)
+    (tmp_path / "files" / "loop").mkdir()
+    (tmp_path / "files" / "loop" / "plain_name_4.json").write_text('{"error": "w",\n "turns": 2}')
+    (tmp_path / "files" / "loop" / "notes.json").write_text("{}")
+    key = lambda df: sorted(tuple(r) for r in df.select("config", "question_id", "run_index", "error").collect())
+    assert key(src.read_trace_files(spark, place)) == [("full", "a_b", 3, "y"), ("full", "long_name_7", 12, "z"), ("loop", "a_b", 3, "x"), ("loop", "plain_name", 4, "w")]
+    bad = [r["file"].split("/files/")[1] for r in src.trace_file_rejects(spark, place).collect()]
+    assert len(bad) == 2 and any(b.startswith("config=loop/trace=c/") for b in bad) and "loop/notes.json" in bad
+    only = src.read_trace_files(spark, place, ["loop"])
+    assert key(only) == [("loop", "plain_name", 4, "w")] and all("/files/loop/" in f for f in only.inputFiles())
+
+
+def test_only_traces_of_listed_runs_are_looked_into(spark, tmp_path):
+    failed = load(spark, tmp_path, [run("q", False, i) for i in range(9)])
+    calls = "array(named_struct('tool', 'run_python', 'status', 'ok', 'raw_arguments', raw, 'sandbox', CAST(NULL AS struct<violations:array<struct<kind:string>>,limits_hit:array<string>>)))"
+    none = "CAST(array() AS array<struct<ok:boolean,answer:struct<value:string>,verdict:struct<checks:array<struct<name:string,status:string>>>>>)"
+    traces = spark.createDataFrame([("c", "q", i, json.dumps({"code": f" {i}"})) for i in range(50)], "config string, question_id string, run_index long, raw string")
+    traces = traces.selectExpr("config", "question_id", "run_index", f"{calls} AS tool_calls", "named_struct('interpretation', raw) AS plan", f"{none} AS verifications")
+    table = AN.failures_table(failed, question_table(spark), traces.withColumn("config", F.lit(failed.first()["config"])), ["run_index"])
+    assert [r["last_codes"] for r in table.orderBy("run_index").collect()] == [["0"], ["1"]]
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("transform(tool_calls") < plan.index("LeftSemi")  # the tree is printed from the top
+
+
 def test_rejections(spark):
     rows = [("r", 0, False), ("r", 1, False), ("r", 2, False), ("s", 0, False), ("s", 1, True)]
     df = spark.createDataFrame(rows, "run string, seq int, ok boolean")

@@ -107,22 +107,26 @@ def runs_join_traces(runs: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def failures_table(runs: DataFrame, questions: DataFrame, traces: DataFrame, order: Sequence[str], limit: int = 2) -> DataFrame:
-    """Detail of the first failed runs per question: traps, plan, last code, rejected answers.
+    """Detail of the first failed runs per question: question, traps, plan, last code, rejected answers.
 
-    Only the runs that are listed meet their traces.
+    The columns of the run (expected, got, unit, reason) are kept.  Traces are first reduced to those of the
+    listed runs, then looked into: no code is parsed of any other, and only they meet the list.
     """
     listed = failed_runs_top(runs, order, limit)
-    about = questions.select("question_id", F.array_join("traps", ", ").alias("intended_trap"))
-    detail = traces.select(
+    about = questions.select("question_id", F.col("text").alias("question_text"), F.array_join("traps", ", ").alias("intended_trap"))
+    of_listed = traces.join(listed.select(*RUN_KEY).distinct(), RUN_KEY, "left_semi")
+    failed_checks = lambda v: F.filter(v["verdict"]["checks"], lambda c: c["status"] == "fail")
+    detail = of_listed.select(
         *RUN_KEY,
         F.col("plan.interpretation").alias("plan_interpretation"),
         F.transform(last_codes_of_trace(), strip).alias("last_codes"),
         F.transform(
             F.filter("verifications", lambda v: ~v["ok"]),
-            lambda v: F.array_join(
-                F.transform(F.filter(v["verdict"]["checks"], lambda c: c["status"] == "fail"), lambda c: c["name"]), ", "
+            lambda v: F.struct(
+                v["answer"]["value"].cast("string").alias("value"),
+                F.array_join(F.transform(failed_checks(v), lambda c: c["name"]), ", ").alias("failed_checks"),
             ),
-        ).alias("rejected_for"),
+        ).alias("rejected"),
     )
     return listed.join(about, "question_id", "left").join(detail, RUN_KEY, "left")
 

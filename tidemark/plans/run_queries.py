@@ -362,10 +362,11 @@ KEY = ", ".join(RUN_KEY)
 @query(
     "runs_join_traces",
     f"""SELECT config, question_id, run_index, correct, CASE WHEN k IS NOT NULL THEN k % 3 + 1 END AS n_calls
-        FROM trace_runs_t LEFT JOIN traces_t USING ({KEY})""",
+        FROM trace_runs_t LEFT JOIN (SELECT * FROM traces_t WHERE k % 5 <> 0) USING ({KEY})""",
 )
 def runs_join_traces(t: Tables):
-    joined = AN.runs_join_traces(t.trace_runs, t.traces)
+    """Every fifth run has no trace: the missing side is what an outer join is about."""
+    joined = AN.runs_join_traces(t.trace_runs, t.traces.where(F.col("run_index") % 5 != 0))
     calls = F.when(F.col("trace").isNotNull(), F.size("trace.tool_calls")).cast("long")
     return joined.select(*RUN_KEY, "correct", calls.alias("n_calls"))
 
@@ -385,6 +386,26 @@ def read_traces(t: Tables):
     )
 
 
+@query(
+    "read_trace_files",
+    """SELECT concat('c', s_nationkey % 4) AS config, concat('q', s_suppkey) AS question_id, s_suppkey % 3 AS run_index,
+         concat('plan ', s_name) AS plan, CAST(NULL AS BIGINT) AS bad_files FROM supplier WHERE s_nationkey % 4 < 3 AND s_suppkey % 10 > 0
+       UNION ALL SELECT NULL, NULL, NULL, NULL, count(*) FROM supplier WHERE s_nationkey % 4 < 3 AND s_suppkey % 10 = 0""",
+)
+def read_trace_files(t: Tables):
+    """A file for each supplier; three of four folders are read, and names without a number are rejected."""
+    path = t.fresh("trace-files")
+    n = F.col("s_suppkey")
+    plan = F.struct(F.concat(F.lit("plan "), F.col("s_name")).alias("interpretation"))
+    config, question = F.concat(F.lit("c"), (F.col("s_nationkey") % 4).cast("string")), F.concat(F.lit("q"), n.cast("string"))
+    rows = t.supplier.select(config.alias("config"), question.alias("question_id"), F.when(n % 10 > 0, n % 3).alias("run_index"), plan.alias("plan"))
+    src.write_trace_files(rows, path)
+    read = [f"config=c{k}" for k in range(3)]
+    good = src.read_trace_files(t.spark, path, read).select(*RUN_KEY, F.col("plan.interpretation").alias("plan"), F.lit(None).cast("long").alias("bad_files"))
+    bad = src.trace_file_rejects(t.spark, path, read).agg(F.count(F.lit(1)).alias("bad_files"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 @query(
     "tokens_per_run",
     f"""SELECT {KEY}, 'agent' AS purpose, CAST(CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS calls,
@@ -466,20 +487,24 @@ def rejection_sequence(t: Tables):
 
 @query(
     "failures_table",
-    f"""SELECT question_id, config, run_index, reason, CAST(rank AS INT) AS rank,
-          CASE WHEN a.pos IS NOT NULL THEN 'even, number' END AS intended_trap,
-          CASE WHEN t.k IS NOT NULL THEN concat('plan ', t.k) END AS plan_interpretation,
-          CASE WHEN t.k IS NULL THEN NULL WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN concat('result = ', k)
-            ELSE concat('result = ', k, ' | {{"code": "x', k) END AS last_codes
+    f"""SELECT question_id, config, run_index, reason, expected, got, answer_unit, CAST(rank AS INT) AS rank, a.text AS question_text,
+          CASE WHEN a.pos % 2 = 0 THEN 'even, number' WHEN a.pos IS NOT NULL THEN '' END AS intended_trap,
+          concat('plan ', t.k) AS plan_interpretation,
+          CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN concat('result = ', k)
+            ELSE concat('result = ', k, ' | {{"code": "x', k) END AS last_codes,
+          (SELECT coalesce(string_agg(concat(k + i, ': ', CASE WHEN k % 3 = 0 THEN 'range, ' ELSE '' END, 'provenance'), ' | ' ORDER BY i), '')
+           FROM range(4) r(i) WHERE i < k % 5 AND (k + i) % 2 = 1) AS rejected
         FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY run_index) AS rank FROM trace_runs_t WHERE NOT correct) r
-        LEFT JOIN asked_t a USING (question_id) LEFT JOIN traces_t t USING ({KEY}) WHERE rank <= 2""",
+        LEFT JOIN questions_t a USING (question_id) LEFT JOIN traces_t t USING ({KEY}) WHERE rank <= 2""",
 )
 def failures_table(t: Tables):
-    out = AN.failures_table(t.trace_runs, t.asked, t.traces, ["run_index"])
+    out = AN.failures_table(t.trace_runs, t.questions, t.traces, ["run_index"])
     codes = F.when(F.col("last_codes").isNotNull(), F.array_join("last_codes", " | "))
+    rejected = F.transform("rejected", lambda v: F.concat_ws(": ", v["value"], v["failed_checks"]))
     return out.select(
-        "question_id", "config", "run_index", "reason", "rank", "intended_trap", "plan_interpretation", codes.alias("last_codes")
-    )
+        "question_id", "config", "run_index", "reason", "expected", "got", "answer_unit", "rank", "question_text", "intended_trap",
+        "plan_interpretation", codes.alias("last_codes"), F.array_join(rejected, " | ").alias("rejected"),
+    )
 
 
 @query("question_listing", "SELECT question_id, category, difficulty, coalesce(unit, '-') AS unit, left(text, 70) AS text FROM questions_t")

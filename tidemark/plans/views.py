@@ -309,8 +309,15 @@ class Tables:
     @cached_property
     def trace_runs(self) -> DataFrame:
         """Run rows whose key is unique: one per order."""
-        return self.orders.select(*self._trace_key(), (F.col("o_orderkey") % 3 == 0).alias("correct"),
-                                  F.concat(F.lit("off by "), (F.col("o_custkey") % 5).cast("string")).alias("reason"))
+        k, off = F.col("o_orderkey"), F.col("o_custkey") % 5
+        return self.orders.select(
+            *self._trace_key(),
+            (k % 3 == 0).alias("correct"),
+            F.concat(F.lit("off by "), off.cast("string")).alias("reason"),
+            (k % 1000).cast("string").alias("expected"),
+            F.when(k % 8 > 0, (k % 1000 + off).cast("string")).alias("got"),
+            F.when(k % 4 > 0, F.lit("mm")).alias("answer_unit"),
+        )
 
     @staticmethod
     def _trace_key() -> list[Column]:
@@ -322,7 +329,7 @@ class Tables:
 
     @cached_property
     def traces(self) -> DataFrame:
-        """One stored document per order whose key is not a multiple of five."""
+        """One stored document per order."""
         k = F.col("o_orderkey")
         ks = k.cast("string")
         none = F.lit(None).cast("string")
@@ -365,7 +372,7 @@ class Tables:
             return F.struct((~bad).alias("ok"), answer(k + i).alias("answer"), F.struct(checks.alias("checks")).alias("verdict"))
 
         verifications = F.slice(F.array(*[verification(i) for i in range(4)]), F.lit(1), (k % 5).cast("int"))
-        return self.orders.where(k % 5 != 0).select(
+        return self.orders.select(
             *self._trace_key(),
             F.lit("q?").alias("question"),
             F.lit("m").alias("model"),
@@ -502,9 +509,11 @@ VIEWS: dict[str, str] = {
                WHEN unit <> 'furlongs' AND unit <> planned_unit THEN 'warn' ELSE 'pass' END AS plan_status
         FROM submissions_t s LEFT JOIN flags_t USING (user_id) LEFT JOIN found_t USING (event_id)""",
     "trace_runs_t": """SELECT o_orderstatus AS config, concat('q', o_custkey % 100) AS question_id, o_orderkey AS run_index,
-          o_orderkey % 3 = 0 AS correct, concat('off by ', o_custkey % 5) AS reason FROM orders""",
+          o_orderkey % 3 = 0 AS correct, concat('off by ', o_custkey % 5) AS reason, CAST(o_orderkey % 1000 AS VARCHAR) AS expected,
+          CASE WHEN o_orderkey % 8 > 0 THEN CAST(o_orderkey % 1000 + o_custkey % 5 AS VARCHAR) END AS got,
+          CASE WHEN o_orderkey % 4 > 0 THEN 'mm' END AS answer_unit FROM orders""",
     "traces_t": """SELECT o_orderstatus AS config, concat('q', o_custkey % 100) AS question_id, o_orderkey AS run_index,
-          o_orderkey AS k, o_custkey AS c, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0""",
+          o_orderkey AS k, o_custkey AS c, o_totalprice FROM orders""",
     "verifications_t": """SELECT config, question_id, run_index, k, i AS seq, (k + i) % 2 = 0 AS ok
         FROM traces_t, range(4) r(i) WHERE i < k % 5""",
 }

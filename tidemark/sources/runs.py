@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import RUNS_STORED, TRACE
+from ..schemas import RUN_KEY, RUNS_STORED, TRACE
 
 
 def _is_number(v: Column) -> Column:
@@ -77,19 +79,41 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], keyed)
 
 
-def read_trace_files(spark: SparkSession, path: str) -> DataFrame:
-    """Traces stored as one document per file; the key comes from the path."""
-    docs = spark.read.schema(TRACE).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    pattern = r"([^/]+)/([^/]+)_(\d+)\.json$"
+# The key of a trace in its path: <config>/<question>_<run>.json, or the folders of a partitioned writer.
+_TRACE_PATH = r"(?:config=)?([^/]+)/(?:(?:trace=)?([^/]+)_(\d+)(?:/[^/]*)?\.json)$"
+
+
+def _trace_files(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
+    places = [f"{path}/{f}" for f in folders] or [path]
+    docs = spark.read.schema(TRACE).option("multiLine", True).option("recursiveFileLookup", True).json(places)
     file = F.col("_metadata.file_path")
+    key = [F.regexp_extract(file, _TRACE_PATH, i) for i in (1, 2, 3)]
     return docs.select(
-        F.regexp_extract(file, pattern, 1).alias("config"),
-        F.regexp_extract(file, pattern, 2).alias("question_id"),
-        F.regexp_extract(file, pattern, 3).try_cast("long").alias("run_index"),
-        "*",
+        file.alias("file"), key[0].alias("config"), key[1].alias("question_id"), key[2].try_cast("long").alias("run_index"), "*"
     )
 
 
+def read_trace_files(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> DataFrame:
+    """Traces stored as one document per file; the key comes from the path.
+
+    With ``folders`` only these folders of ``path`` are listed and read.  Files whose name tells no key are
+    left out; ``trace_file_rejects`` names them.
+    """
+    return _trace_files(spark, path, folders).where(F.col("run_index").isNotNull()).drop("file")
+
+
+def trace_file_rejects(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> DataFrame:
+    """(file): the files below ``path`` whose name is no key of a trace."""
+    return _trace_files(spark, path, folders).where(F.col("run_index").isNull()).select("file").distinct()
+
+
+def write_trace_files(traces: DataFrame, path: str) -> None:
+    """Every trace in a file of its own, in folders named by its key.  For a small number of traces."""
+    name = F.concat_ws("_", "question_id", F.col("run_index").cast("string"))
+    body = [c for c in traces.columns if c not in RUN_KEY]
+    traces.select("config", name.alias("trace"), *body).write.mode("append").partitionBy("config", "trace").json(path)
+
+
 def write_traces(traces: DataFrame, path: str) -> None:
     traces.write.mode("append").json(path)
 
