@@ -123,12 +123,15 @@ NUMBER_SQL = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
 
 @query(
     "extract_numbers",
-    f"""SELECT doc_id, CAST(len(n) AS INT) AS n_numbers, CAST(n[1] AS DOUBLE) AS first FROM (
-          SELECT doc_id, regexp_extract_all(text, '{NUMBER_SQL}') AS n FROM documents)""",
+    f"""SELECT doc_id, CAST(len(n) AS INT) AS n_numbers, n[1] AS first, n[-1] AS last, list_min(n) AS smallest, list_max(n) AS largest FROM (
+          SELECT doc_id, list_transform(regexp_extract_all(text, '{NUMBER_SQL}'), lambda x: CAST(x AS DOUBLE)) AS n FROM documents)""",
 )
 def extract_numbers(t: Tables):
     found = t.documents.select("doc_id", N.extract_numbers(F.col("text")).alias("n"))
-    return found.select("doc_id", F.size("n").alias("n_numbers"), F.get("n", F.lit(0)).alias("first"))
+    return found.select(
+        "doc_id", F.size("n").alias("n_numbers"), F.get("n", F.lit(0)).alias("first"), F.try_element_at("n", F.lit(-1)).alias("last"),
+        F.array_min("n").alias("smallest"), F.array_max("n").alias("largest"),
+    )
 
 
 @query(
@@ -234,9 +237,15 @@ def verdict_columns(verdict: Column, digits: int = 6) -> list[Column]:
 GRADED_OUT = "reason = 'within tolerance' AS correct, reason, round(got_c, 6) + 0.0 AS got_number, converted AS unit_converted"
 
 
-@query("grade_numeric", f"SELECT {KEY}, {GRADED_OUT} FROM ({GRADED}) WHERE NOT abstains")
+@query(
+    "grade_numeric",
+    f"""SELECT {KEY}, CASE WHEN NOT abstains THEN correct END AS correct, CASE WHEN NOT abstains THEN reason END AS reason, got_number,
+          CASE WHEN NOT abstains THEN unit_converted END AS unit_converted FROM (SELECT *, {GRADED_OUT.replace("correct, reason,", "correct,")} FROM ({GRADED}))""",
+)
 def grade_numeric(t: Tables):
-    return G.with_grading_inputs(t.answers.where("answer_is_number")).withColumn("v", G.grade_numeric()).select(*ANSWER_KEY, *verdict_columns(F.col("v")))
+    """A verdict for every answer that is a number, none for the others."""
+    verdict = F.when(F.col("answer_is_number"), G.grade_numeric())
+    return G.with_grading_inputs(t.answers).withColumn("v", verdict).select(*ANSWER_KEY, *verdict_columns(F.col("v")))
 
 
 COUNT_LABELS = ("hours", "records", " Hourly  Records ", "days", "°C", "rows", None, "hrs")
@@ -418,35 +427,44 @@ def provenance_match(t: Tables):
     return joined.select("event_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-@query("check_type", "SELECT event_id, CASE WHEN type_bad THEN 'fail' ELSE 'pass' END AS status FROM checks_t WHERE kind <> 5")
+def status_sql(status: str) -> str:
+    return f"SELECT event_id, CASE WHEN kind = 5 THEN 'declined' ELSE {status} END AS status FROM checks_t"
+
+
+def status_of(check):
+    """Of every answer; one that declines to answer is not checked."""
+    return F.when(V.abstains(), "declined").otherwise(check["status"]).alias("status")
+
+
+@query("check_type", status_sql("CASE WHEN type_bad THEN 'fail' ELSE 'pass' END"))
 def check_type(t: Tables):
-    return t.submissions.where(~V.abstains()).select("event_id", V.check_type()["status"].alias("status"))
+    return t.submissions.select("event_id", status_of(V.check_type()))
 
 
-@query("check_unit", "SELECT event_id, unit_status AS status FROM checks_t WHERE kind <> 5")
+@query("check_unit", status_sql("unit_status"))
 def check_unit(t: Tables):
-    return V.with_units(t.submissions).where(~V.abstains()).select("event_id", V.check_unit()["status"].alias("status"))
+    return V.with_units(t.submissions).select("event_id", status_of(V.check_unit()))
 
 
-@query("check_range", "SELECT event_id, range_status AS status FROM checks_t WHERE kind <> 5")
+@query("check_range", status_sql("range_status"))
 def check_range(t: Tables):
-    return V.with_units(t.submissions).where(~V.abstains()).select("event_id", V.check_range()["status"].alias("status"))
+    return V.with_units(t.submissions).select("event_id", status_of(V.check_range()))
 
 
-@query("check_provenance", "SELECT event_id, provenance_status AS status FROM checks_t WHERE kind <> 5")
+@query("check_provenance", status_sql("provenance_status"))
 def check_provenance(t: Tables):
-    return attached(t).where(~V.abstains()).select("event_id", V.check_provenance()["status"].alias("status"))
+    return attached(t).select("event_id", status_of(V.check_provenance()))
 
 
-@query("check_silent_nan", "SELECT event_id, nan_status AS status FROM checks_t WHERE kind <> 5")
+@query("check_silent_nan", status_sql("nan_status"))
 def check_silent_nan(t: Tables):
     flagged = t.submissions.join(V.evidence_flags(t.executions, RUN), RUN, "left")
-    return flagged.where(~V.abstains()).select("event_id", V.check_silent_nan()["status"].alias("status"))
+    return flagged.select("event_id", status_of(V.check_silent_nan()))
 
 
-@query("check_plan_unit", "SELECT event_id, plan_status AS status FROM checks_t WHERE kind <> 5")
+@query("check_plan_unit", status_sql("plan_status"))
 def check_plan_unit(t: Tables):
-    return V.with_units(t.submissions).where(~V.abstains()).select("event_id", V.check_plan_unit()["status"].alias("status"))
+    return V.with_units(t.submissions).select("event_id", status_of(V.check_plan_unit()))
 
 
 @query(
