@@ -1,5 +1,6 @@
 """Every operator on hard rows, on an empty table, and beside columns of clashing names."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -97,14 +98,25 @@ def test_names_of_elements_do_not_take_the_article_out(page, want):
 def test_vectors_on_hard_rows(spark):
     a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
     near = [1.0, 0.1, 0.0, 0.0]
-    rows = [(5, a), (3, a), (3, a), (7, near), (8, b), (9, None), (10, []), (11, [0.0] * 4), (12, [1.0, None, 0.0, 0.0]), (13, [float("nan"), 1.0, 0.0, 0.0]), (14, [float("inf"), 0.0, 0.0, 0.0]), (15, [1.0, 0.0]), (None, a)]
+    rows = [(5, a), (3, a), (3, a), (7, near), (8, b), (9, None), (10, []), (11, [0.0] * 4), (12, [1.0, None, 0.0, 0.0]), (13, [float("nan"), 1.0, 0.0, 0.0]), (14, [float("inf"), 0.0, 0.0, 0.0]), (15, [1.0, 0.0]), (16, [3.0, 0.1]), (17, [2.0]), (18, [-1.0]), (None, a)]
     table = spark.createDataFrame([(i, v, i, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, rid string")
     got = sorted(tuple(r)[:3] for r in vectors.dedup(table).collect() if r["vec_id"] is not None)
-    assert got == [(3, 3, 3), (3, 3, 3), (5, 3, 3), (7, 3, 3), (8, 0, 8), (9, 0, 9), (10, 0, 10), (11, 0, 11), (12, 0, 12), (13, 0, 13), (14, 0, 14), (15, 0, 15)]
+    assert got == [(3, 3, 3), (3, 3, 3), (5, 3, 3), (7, 3, 3), (8, 0, 8), (9, 0, 9), (10, 0, 10), (11, 0, 11), (12, 0, 12), (13, 0, 13), (14, 0, 14), (15, 1, 15), (16, 1, 15), (17, 0, 17), (18, 0, 18)]
     assert vectors.dedup(table.limit(0)).collect() == []
     assert vectors.dedup(table.where("vec_id = 9")).count() == 1
 
 
+def test_vectors_of_a_length_that_the_sample_lacks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.standard_normal(8).tolist()) for k in range(300)] + [(1000 + k, [float(k % 3 + 1), k % 3 / 10, 0.0]) for k in range(9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = sorted(tuple(r) for r in vectors.dedup(table).collect())
+    monkeypatch.setattr(vectors, "SAMPLE", 20)
+    monkeypatch.setattr(vectors, "bounded_ids", lambda df, key, n: df.where("rid < 300").select(key).orderBy(key).limit(n))
+    assert sorted(tuple(r) for r in vectors.dedup(table).collect()) == want
+    assert [r[1] for r in want[-9:]] == [8] * 9
+
+
 def test_the_pipeline_runs_its_stages_in_order(spark, tmp_path, documents, hard, labels, prose):
     rows = [(i, prose(i, 60)) for i in range(20, 60)] + [(70, prose(21, 60)), (71, prose(1, 60) + " write to bob@example.org now"), (72, "word " * 60)] + hard
     documents(rows).write.parquet(f"{tmp_path}/documents.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,8 @@ from .shared import bounded_ids, checkpointed, fields
 
 COSINE = 0.95
 SAMPLE = 20_000  # vectors the codebooks are fitted on
-CODES = 64  # of each half; the grid has CODES * CODES cells
+CODES = 64  # of each half, at least; the grid has as many cells as their square
+CROWD = 16  # vectors a cell is to hold: codebooks grow with the square root of the vectors
 RECALL = 0.995  # of pairs at the threshold itself, which are the hardest to find
 PARTNERS = 10_000
 BLOCK = 512  # vectors on each side of a comparison
@@ -112,6 +114,11 @@ def fit(sample: np.ndarray, codes: int = CODES, recall: float = RECALL, cosine:
     return grid
 
 
+def one_cell(width: int) -> Grid:
+    """For a length so rare that no vector of the sample has it: all in one cell, which is compared in blocks."""
+    return Grid(np.zeros((1, width // 2)), np.zeros((1, width - width // 2)))
+
+
 def _representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """(rows, distinct, type): ``rows(vec_id, v)`` with the bytes of valid vectors, ``distinct(rid, n, v)``."""
     kind = vectors.schema["embedding"].dataType
@@ -181,44 +188,47 @@ def dedup(vectors: DataFrame, codes: int = CODES) -> DataFrame:
     task; a block gives a count and a root for each of its vectors, never pairs.
 
     Vectors that are null, empty, zero, or hold a null or a non-finite component link with nothing, and so
-    do vectors of another length than most and rows with a null vec_id.  Repeated rows count as copies;
-    labels and other columns are ignored.
+    do rows with a null vec_id.  Vectors of different lengths never link; each length has a grid of its own.
+    Repeated rows count as copies; labels and other columns are ignored.
     """
     spark = vectors.sparkSession
     rows, distinct, number = _representatives(vectors)
-    width = distinct.groupBy(F.length("v").alias("b")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "b").first()
-    if width is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    reps = checkpointed(distinct.where(F.length("v") == width["b"]))
-    few = reps.join(F.broadcast(bounded_ids(reps, "rid", SAMPLE)), "rid", "left_semi").select("rid", "v").collect()
+    reps = checkpointed(distinct.withColumn("b", F.length("v")))
+    few = reps.join(F.broadcast(bounded_ids(reps, "rid", SAMPLE)), "rid", "left_semi").select("rid", "b", "v").collect()
     few.sort(key=lambda r: r["rid"])
-    grid = fit(unit(np.stack([np.frombuffer(bytes(r["v"]), number) for r in few])), codes)
-    shared = spark.sparkContext.broadcast(grid)  # two codebooks of fixed size
+    by_length: dict[int, list[np.ndarray]] = {}
+    for r in few:
+        by_length.setdefault(r["b"], []).append(np.frombuffer(bytes(r["v"]), number))
+    # Lengths that are in the sample: SAMPLE rows at most.
+    counted = {r["b"]: r["c"] for r in reps.where(F.col("b").isin(list(by_length))).groupBy("b").agg(F.count("*").alias("c")).collect()}
+    wanted = {b: max(codes, math.isqrt(n // CROWD)) for b, n in counted.items()}
+    grids = {b: fit(unit(np.stack(x)), wanted[b]) for b, x in by_length.items()}
+    shared = spark.sparkContext.broadcast(grids)  # a code for every eight vectors of the sample at most
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                home, cells = shared.value.visit(unit(np.stack([np.frombuffer(v, number) for v in batch["v"]])))
-                yield batch[["rid", "n", "v"]].assign(home=home, cells=cells)
-
-    schema = fields(rid="bigint", n="bigint", v="binary", home="bigint", cells="array<bigint>")
-    placed = checkpointed(reps.mapInPandas(place, schema))
-    visits = placed.select(F.explode("cells").alias("cell"), (F.col("home") == F.col("cell")).alias("own"))
-    # At most one row for each cell of the grid: a bounded table.
-    sizes = visits.groupBy("cell").agg(
+            for b, part in batch.groupby("b"):
+                u = unit(np.stack([np.frombuffer(v, number) for v in part["v"]]))
+                home, cells = (shared.value.get(b) or one_cell(u.shape[1])).visit(u)
+                yield part[["rid", "n", "v", "b"]].assign(home=home, cells=cells)
+
+    schema = fields(rid="bigint", n="bigint", v="binary", b="int", home="bigint", cells="array<bigint>")
+    placed = checkpointed(reps.select("rid", "n", "v", "b").mapInPandas(place, schema))
+    visits = placed.select("b", F.explode("cells").alias("cell"), (F.col("home") == F.col("cell")).alias("own"))
+    sizes = visits.groupBy("b", "cell").agg(
         F.ceil(F.count_if(F.col("own")) / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights")
     ).where("lefts > 0")
     salt = F.xxhash64("rid", F.lit("salt"))
-    members = placed.select("rid", "n", "v", "home", "cells", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
+    members = placed.select("rid", "n", "v", "b", "home", "cells", F.explode("cells").alias("cell")).join(sizes, ["b", "cell"])
     as_left = members.where("home = cell").select(
-        "rid", "n", "v", "home", "cells", "cell", F.lit(0).alias("side"),
+        "rid", "n", "v", "b", "home", "cells", "cell", F.lit(0).alias("side"),
         F.pmod(salt, F.col("lefts")).cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"),
     )
     as_right = members.select(
-        "rid", "n", "v", "home", F.array().cast("array<bigint>").alias("cells"), "cell", F.lit(1).alias("side"),
+        "rid", "n", "v", "b", "home", F.array().cast("array<bigint>").alias("cells"), "cell", F.lit(1).alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(salt, F.col("rights")).cast("int").alias("r"),
     )
-    blocks = as_left.unionByName(as_right).groupBy("cell", "l", "r")
+    blocks = as_left.unionByName(as_right).groupBy("b", "cell", "l", "r")
     found = checkpointed(blocks.applyInPandas(_compare(number), fields(rid="bigint", linked="bigint", root="bigint")))
     links = found.groupBy("rid").agg(F.sum("linked").alias("linked"))
     groups = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rid")
