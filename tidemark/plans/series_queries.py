@@ -12,7 +12,7 @@ from ..operators import quality as Q
 from ..operators import resample as R
 from ..operators import slices as S
 from ..sources import series as src
-from .catalogue import QUESTIONS, truths
+from .catalogue import BY_ID, QUESTIONS, published_truths, truths
 from .registry import query
 from .views import Tables, r, stamp
 
@@ -813,11 +813,12 @@ def catalogue_sql() -> str:
     parts = []
     for q in QUESTIONS:
         sql, is_text = TRUTH_SQL.get(q.id, ("SELECT 'not answerable'", True))
-        if getattr(q.truth, "unless", None):  # answered where the series reaches that far
+        reaches = getattr(q.truth, "unless", None) and not q.truth.place  # answered where the series reaches that far
+        if reaches:
             mean = scalar(f"avg({TE})", year(2026))[0]
             sql = f"CASE WHEN ({mean}) IS NULL THEN 'not answerable' END"
         num, text = ("CAST(NULL AS DOUBLE)", f"({sql})") if is_text else (f"round(({sql}), 4) + 0.0", "CAST(NULL AS VARCHAR)")
-        if getattr(q.truth, "unless", None):
+        if reaches:
             num = f"round(({mean}), 4) + 0.0"
         parts.append(f"SELECT '{q.id}' AS question_id, {num} AS value_num, {text} AS value_text, 'ok' AS status")
     return "\nUNION ALL ".join(parts)
@@ -828,3 +829,23 @@ def batch_scalar_truths(t: Tables):
     """All 56 questions of the catalogue over the derived hourly series."""
     out = truths(t.weather)
     return out.select("question_id", r("value_num").alias("value_num"), "value_text", "status")
+
+
+@query(
+    "truths_of_published",
+    f"""SELECT place, question_id, CASE WHEN place = 'Berlin' OR question_id = 'mean_temp_2023' THEN round(m, 4) + 0.0 END AS value_num,
+          CASE WHEN place <> 'Berlin' AND question_id = 'berlin_temperature' THEN 'not answerable' END AS value_text
+        FROM (SELECT avg({TE}) AS m FROM weather WHERE {year(2023)}),
+          (SELECT unnest(['Berlin', 'Oslo']) AS place), (SELECT unnest(['berlin_temperature', 'mean_temp_2023']) AS question_id)""",
+)
+def truths_of_published(t: Tables):
+    """Whether the series is of the place a question asks about is told by its manifest."""
+    hours = R.fill_bins(t.weather, "hour", column="time").where(F.year("time") == 2023)
+    asked = [BY_ID["berlin_temperature"], BY_ID["mean_temp_2023"]]
+    found = None
+    for place in ("Berlin", "Oslo"):
+        path = t.fresh("weather")
+        src.write_series_validated(hours, path, {}, "2023-01-01", "2023-12-31", request={"place": place})
+        told = published_truths(t.spark, path, questions=asked).withColumn("place", F.lit(place))
+        found = told if found is None else found.unionByName(told)
+    return found.select("place", "question_id", r("value_num").alias("value_num"), "value_text")
