@@ -1,7 +1,4 @@
-"""The registered queries: complete, checked, and equal to their oracle on the smallest tables.
-
-All of them run with TIDEMARK_ALL=1; by default one query per family.
-"""
+"""The registered queries: complete, checked, and equal to their oracle on the smallest tables."""
 
 import math
 import os
@@ -14,13 +11,6 @@ from tidemark.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SOME = (
-    "read_series", "missing_hours_hourly", "content_hash", "validate_series", "agg_quantile_linear", "resample_fill_empty",
-    "rolling_sum", "longest_run", "unsorted_check", "grade_runs", "provenance_match", "verify_answers", "validate_plans",
-    "summarize_runs", "hardest_questions", "failures_table", "read_runs", "scan_code_policy", "agg_quantile_unkeyed",
-    "submitted_literal_forms", "white_space_of_any_kind", "validate_tool_calls_cases",
-)
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
 
 
@@ -44,7 +34,7 @@ def test_entry(spark):
     assert entry_module.entry(spark).count() == 56
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()) if os.environ.get("TIDEMARK_ALL") else SOME)
+@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
 def test_query_equals_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
