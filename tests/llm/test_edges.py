@@ -95,6 +95,50 @@ def test_names_of_elements_do_not_take_the_article_out(page, want):
     assert pages.extract(page, score) == want.replace("|", "\n\n")
 
 
+SECOND = ARTICLE.replace("Sorting numbers", "Merging").replace("One way", "Another way")
+AROUND = "<nav><ul><li><a href='/'>Home</a></li><li>All of the topics</li></ul></nav>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"{ARTICLE}<div class='comments-area'><div class='comment-body'><p>{'so true ' * 40}</p></div></div>", WORDS),
+        (ARTICLE.replace("</article>", "<div class='comments-area'><p>So true</p></div></article>"), WORDS),
+        (f"{ARTICLE}<div class='site-footer'>{'all rights ' * 40}</div><div class='footer-links'>About us</div>", WORDS),
+        (ARTICLE.replace("</article>", "<p class='notice'>Mind the order.</p></article>"), WORDS + "|Mind the order."),
+        (ARTICLE.replace("</article>", "<div class='widget'>A table.</div></article>"), WORDS + "|A table."),
+        (f"<div class='notice'>We have moved.</div><div class='widget'>Weather</div>{ARTICLE}", WORDS),
+        (ARTICLE.replace("many", "<math><mi>n</mi></math>"), WORDS.replace("many", "n")),
+        (f"{ARTICLE}{AROUND}{SECOND}<footer>x</footer>", WORDS + "|" + WORDS.replace("Sorting numbers", "Merging").replace("One way", "Another way")),
+        (f"<main>{AROUND}{ARTICLE}<aside>{SECOND}</aside></main>", WORDS),
+        (f"<main><h1>Sorting</h1>{'<p>Many words of one text.</p>' * 9}<article><p>Teaser</p></article></main>", "Sorting" + "|Many words of one text." * 9),
+        (f"<div class='sidebar'><main>{ARTICLE}</main></div>", WORDS),
+        (f"<article><p>{'word ' * 60}</p><article class='comment'>{'so true ' * 90}</article></article>", ("word " * 60).strip()),
+        ("<article></article>", ""),
+        (f"<body>{AROUND}<p>Plain page without any article in its markup.<footer>{'x ' * 90}</footer></body>", "Plain page without any article in its markup."),
+    ],
+)
+def test_learned_names_decide_what_belongs_to_the_article(page, want):
+    learned = pages.weights(pages.count(AROUND + ARTICLE + "<footer>x</footer>"))
+    for score in (learned, pages.weights({})):
+        assert pages.extract(page, score) == want.replace("|", "\n\n")
+
+
+def test_labelled_pages_teach_names():
+    page = f"<body><div class='zq'>{'z ' * 30}</div><div class='box'>aside</div><article><p>{'word ' * 9}</p><div class='box'>part</div></article></body>"
+    score = pages.weights(sum((pages.count(page) for _ in range(20)), pages.Counter()))
+    assert pages.extract(page, score) == ("word " * 9).strip() + "\n\npart"
+    assert pages.extract(page, pages.weights({})) != pages.extract(page, score)
+    assert score["zq"] < -pages.MOST / 2 and score["box"] == score["p"] == 0
+
+
+def test_the_scores_decide_on_given_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(20).select("html").collect()
+    score = pages.weights(sum((pages.count(r["html"]) for r in rows), pages.Counter()))
+    whole = dict.fromkeys(score, 0.0)
+    assert all(pages.extract(r["html"], score) != pages.extract(r["html"], whole) for r in rows)
+
+
 def test_vectors_on_hard_rows(spark):
     a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
     near = [1.0, 0.1, 0.0, 0.0]
