@@ -344,7 +344,7 @@ def test_quality_equals_its_sql(spark, documents, prose):
 
 def test_frequent_lines_are_cut_from_kept_documents(spark, documents, prose):
     line, rare = prose(777, 13), prose(778, 9)
-    rows = [(i, f"{prose(i, 30)}\n{line}\n\n{rare if i < 90 else 'x'}\n {line.upper()} \n{prose(i + 500, 3)}") for i in range(150)]
+    rows = [(i, f"{prose(i, 30)}\n{line}\n\n{rare if i < 5 else f'x{i}'}\n {line.upper()} \n{prose(i + 500, 3)}") for i in range(150)]
     rows += [(200 + i, rows[k][1]) for i, k in enumerate((0, 7))] + [(300, f"{line}\n{line}\nx y"), (301, prose(5, 25))]
     table = documents(rows)
     got = {r["doc_id"]: r for r in quality.keep(table).collect()}
@@ -353,8 +353,31 @@ def test_frequent_lines_are_cut_from_kept_documents(spark, documents, prose):
         if i == 300:
             continue
         lines = text.split("\n")
-        # The first document and its copy keep the line; "x" is no more frequent than the limit.
+        # The first document and its copy keep the line; the rare one is no more frequent than the limit.
         want = text if i in (0, 200, 301) else "\n".join(x for x in lines if x.strip().lower() != line)
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
     lost = {r["doc_id"]: r["n_words"] - r["n_words_left"] for r in quality.assess(table).collect()}
     assert all(lost[i] == len(dict(rows)[i].split()) - len(got[i]["text"].split()) for i in got)
+
+
+def test_the_line_limit_grows_with_the_host(spark, documents, prose):
+    """More than five different texts and more than five per cent of the host's; copies count once."""
+    holders = {"five": (5, 5), "six": (6, 6), "share": (20, 400), "over": (21, 400), "copies": (5, 6)}
+    rows, hosts, n = [], {}, 0
+    for host, (with_line, texts) in holders.items():
+        for i in range(texts):
+            rows.append((n, f"{prose(n, 30)}\n{host} line of the host" if i < with_line else prose(n, 30)))
+            hosts[n], n = host, n + 1
+    for _ in range(9):  # of a text with the line
+        rows.append((n, next(t for i, t in rows if hosts[i] == "copies")))
+        hosts[n], n = "copies", n + 1
+    of = spark.createDataFrame(list(hosts.items()), "doc_id long, source string")
+    table = documents(rows).drop("source").join(of, "doc_id")
+    got = quality.assess(table).drop("content").toPandas().sort_values("doc_id").reset_index(drop=True)
+    removed = got.groupby("host")["n_lines_removed"].sum().to_dict()
+    assert removed == {"five": 0, "six": 5, "share": 0, "over": 20, "copies": 0}
+    con = duckdb.connect()
+    con.register("documents", table.select("doc_id", "text", "source").toPandas())
+    got = got.drop(columns="host")
+    want = con.sql(queries.QUALITY_SQL).df()[list(got.columns)].sort_values("doc_id").reset_index(drop=True)
+    assert (got == want).all().all()

@@ -16,8 +16,10 @@ from .shared import checkpointed, content, fields
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WINDOW = 8
-# Documents of a host, different in text, that may hold the same line.
-LINE_LIMIT = 100
+# Documents of a host, different in text, that may hold the same line: so many, and this share of the host's (per cent).
+LINE_LIMIT = 5
+LINE_SHARE = 5
+SALTS = 64
 # Share of the words of a document that has to remain once frequent lines are removed.
 MIN_LEFT = 0.3
 MIN_WORDS = 20
@@ -118,33 +120,38 @@ def measures(docs: DataFrame) -> DataFrame:
     return bare.mapInPandas(run, schema)
 
 
-def assess(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left: float = MIN_LEFT) -> DataFrame:
+def assess(docs: DataFrame, line_limit: int = LINE_LIMIT, line_share: int = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source)``: base counts, words left, and the verdict.
 
     A line is normalised (A-Z lower-cased, white space squeezed) and hashed.  For each host and line the
     documents with different texts are counted; copies of one document count once, so a large group of
-    copies is not mistaken for boilerplate.  A line of more than ``line_limit`` such documents counts as
-    removed from all of them but the first (smallest doc_id) and its copies; ``keep`` removes it.  A
-    document of which less than ``min_left`` of the words remain is rejected, as is one that fails the
+    copies is not mistaken for boilerplate.  A line of more than ``line_limit`` such documents, and of more
+    than ``line_share`` per cent of all different texts of the host, counts as removed from all of them but
+    the first (smallest doc_id) and its copies; ``keep`` removes it.  A document of which less than ``min_left`` of the words remain is rejected, as is one that fails the
     base rules.
 
     Null and empty texts have no words and fail the base rules.  A null source is the host "".
     A null doc_id is kept as it is; repeated rows get the same verdict.  Other columns are ignored.
     """
-    return _judged(docs, line_limit, min_left).drop("removed")
+    return _judged(docs, line_limit, line_share, min_left).drop("removed")
 
 
-def _judged(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left: float = MIN_LEFT) -> DataFrame:
+def _judged(docs: DataFrame, line_limit: int = LINE_LIMIT, line_share: int = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of ``assess`` with ``removed``, the hashes of the lines a text loses (null if none)."""
     m = checkpointed(measures(docs))
     lines = m.select("doc_id", "host", "content", F.explode(F.arrays_zip("line", "line_words")).alias("l")).select(
         "doc_id", "host", "content", F.col("l.line").alias("line"), F.col("l.line_words").alias("words")
     )
     per_text = lines.groupBy("host", "line", "content").agg(F.min("doc_id").alias("first"))
+    # The texts of a host meet its lines in SALTS places, as one host may have most of the lines.
+    sizes = m.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of")).select("*", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
     per_line = (
         per_text.groupBy("host", "line")
         .agg(F.count("*").alias("texts"), F.min(F.struct("first", "content")).alias("first"))
         .where(F.col("texts") > line_limit)
+        .withColumn("salt", F.pmod("line", F.lit(SALTS)).cast("int"))
+        .join(sizes, ["host", "salt"])
+        .where(100 * F.col("texts") > line_share * F.col("of"))
         .select("host", "line", F.col("first.content").alias("keeper"))
     )
     # A text's loss depends on its host and words only: repeated rows and copies share one row of it.

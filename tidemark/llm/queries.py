@@ -109,7 +109,7 @@ WITH d AS (
 ), repeats AS (
   SELECT doc_id, count(*) FILTER (c) AS n_repeat_words FROM covered GROUP BY 1
 ), raw_lines AS (
-  SELECT doc_id, host, array_to_string(w, ' ') AS content, unnest(string_split(text, chr(10))) AS raw FROM d
+  SELECT doc_id, host, md5(text) AS content, unnest(string_split(text, chr(10))) AS raw FROM d
 ), lines AS (
   SELECT doc_id, host, content, raw,
          array_to_string(regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS line,
@@ -119,8 +119,11 @@ WITH d AS (
   SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines GROUP BY 1
 ), per_text AS (
   SELECT host, line, content, min(doc_id) AS first FROM lines GROUP BY 1, 2, 3
+), sizes AS (
+  SELECT host, count(DISTINCT md5(text)) AS texts FROM d GROUP BY 1
 ), per_line AS (
-  SELECT host, line, arg_min(content, first) AS keeper FROM per_text GROUP BY 1, 2 HAVING count(*) > 100
+  SELECT host, line, arg_min(content, first) AS keeper FROM per_text JOIN sizes USING (host)
+  GROUP BY 1, 2, texts HAVING count(*) > 5 AND 100 * count(*) > 5 * texts
 ), lost AS (
   SELECT doc_id, sum(words) AS lost, count(DISTINCT line) AS n_lines_removed
   FROM lines JOIN per_line USING (host, line) WHERE content <> keeper GROUP BY 1
