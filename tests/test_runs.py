@@ -314,6 +314,15 @@ def test_trace_files_are_keyed_by_their_path(spark, tmp_path):
     assert key(only) == [("loop", "plain_name", 4, "w")] and all("/files/loop/" in f for f in only.inputFiles())
 
 
+def test_trace_files_of_one_partition_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(64).coalesce(1).selectExpr("concat('c', id % 2) AS config", "'q' AS question_id", "id AS run_index", "concat('e', id) AS error")
+    src.write_trace_files(rows, str(tmp_path / "files"))
+    names = [n for _, _, found in os.walk(tmp_path / "files") for n in found if n.endswith(".json")]
+    assert len(names) == 64 and len({n.split("-")[1] for n in names}) >= spark.sparkContext.defaultParallelism
+    good, bad = src.split_trace_files(spark, str(tmp_path / "files"))
+    assert sorted((r["config"], r["run_index"], r["error"]) for r in good.collect()) == sorted((f"c{i % 2}", i, f"e{i}") for i in range(64)) and bad.count() == 0
+
+
 def test_only_traces_of_listed_runs_are_looked_into(spark, tmp_path):
     failed = load(spark, tmp_path, [run("q", False, i) for i in range(9)])
     calls = "array(named_struct('tool', 'run_python', 'status', 'ok', 'raw_arguments', raw, 'sandbox', CAST(NULL AS struct<violations:array<struct<kind:string>>,limits_hit:array<string>>)))"

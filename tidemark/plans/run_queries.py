@@ -401,8 +401,9 @@ def read_trace_files(t: Tables):
     rows = t.supplier.select(config.alias("config"), question.alias("question_id"), F.when(n % 10 > 0, n % 3).alias("run_index"), plan.alias("plan"))
     src.write_trace_files(rows, path)
     read = [f"config=c{k}" for k in range(3)]
-    good = src.read_trace_files(t.spark, path, read).select(*RUN_KEY, F.col("plan.interpretation").alias("plan"), F.lit(None).cast("long").alias("bad_files"))
-    bad = src.trace_file_rejects(t.spark, path, read).agg(F.count(F.lit(1)).alias("bad_files"))
+    traces, rejects = src.split_trace_files(t.spark, path, read)
+    good = traces.select(*RUN_KEY, F.col("plan.interpretation").alias("plan"), F.lit(None).cast("long").alias("bad_files"))
+    bad = rejects.agg(F.count(F.lit(1)).alias("bad_files"))
     return good.unionByName(bad, allowMissingColumns=True)
 
 

@@ -93,25 +93,38 @@ def _trace_files(spark: SparkSession, path: str, folders: Sequence[str]) -> Data
     )
 
 
+def split_trace_files(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(traces, rejects) of ``read_trace_files`` and ``trace_file_rejects``, from one listing of the folders."""
+    files = _trace_files(spark, path, folders)
+    keyed = F.col("run_index").isNotNull()
+    return files.where(keyed).drop("file"), files.where(~keyed).select("file").distinct()
+
+
 def read_trace_files(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> DataFrame:
     """Traces stored as one document per file; the key comes from the path.
 
     With ``folders`` only these folders of ``path`` are listed and read.  Files whose name tells no key are
     left out; ``trace_file_rejects`` names them.
     """
-    return _trace_files(spark, path, folders).where(F.col("run_index").isNotNull()).drop("file")
+    return split_trace_files(spark, path, folders)[0]
 
 
 def trace_file_rejects(spark: SparkSession, path: str, folders: Sequence[str] = ()) -> DataFrame:
     """(file): the files below ``path`` whose name is no key of a trace."""
-    return _trace_files(spark, path, folders).where(F.col("run_index").isNull()).select("file").distinct()
+    return split_trace_files(spark, path, folders)[1]
 
 
 def write_trace_files(traces: DataFrame, path: str) -> None:
-    """Every trace in a file of its own, in folders named by its key.  For a small number of traces."""
+    """Every trace in a file of its own, in folders named by its key.  For a small number of traces.
+
+    Making a file takes a task some ten milliseconds, however small the trace is.  So the keys are dealt over four
+    tasks a core whatever the layout of ``traces``, whose size in bytes would put them all into one.
+    """
     name = F.concat_ws("_", "question_id", F.col("run_index").cast("string"))
     body = [c for c in traces.columns if c not in RUN_KEY]
-    traces.select("config", name.alias("trace"), *body).write.mode("append").partitionBy("config", "trace").json(path)
+    rows = traces.select("config", name.alias("trace"), *body)
+    dealt = rows.repartition(4 * traces.sparkSession.sparkContext.defaultParallelism, "config", "trace")
+    dealt.write.mode("append").partitionBy("config", "trace").json(path)
 
 
 def write_traces(traces: DataFrame, path: str) -> None:
