@@ -17,7 +17,9 @@ from tidemark.operators import analysis as AN
 from tidemark.operators import metrics as M
 from tidemark.operators import quality as Q
 from tidemark.operators import verification as V
+from tidemark.plans import series_queries
 from tidemark.plans.catalogue import BY_ID, question_table
+from tidemark.plans.registry import QUERIES
 from tidemark.schemas import MEASURES, RUNS_STORED
 from tidemark.sources import runs as src
 from tidemark.sources import series as ser
@@ -96,6 +98,21 @@ def test_validated_write_manifest_and_tampering(spark, tmp_path):
     assert not row["ok"] and "mismatch" in row["message"]
 
 
+def test_rows_that_differ_when_computed_again_are_stored_as_validated(spark, tmp_path):
+    noise = F.udf(lambda: random.random() / 1000, "double").asNondeterministic()
+    records = land(spark, tmp_path)[0].withColumn(MEASURES[0], F.col(MEASURES[0]) + noise())
+    for _ in range(2):
+        ser.write_series_validated(records, str(tmp_path / "data"), UNITS, "2021-03-01", "2021-03-02", position="pos")
+        assert ser.check_manifest(spark, str(tmp_path / "data")).first()["ok"]
+
+
+def test_a_mismatch_of_the_fingerprint_is_a_row_of_the_query(spark, monkeypatch):
+    broken = spark.createDataFrame([(False, "content hash mismatch: manifest a..., file b...")], "ok boolean, message string")
+    monkeypatch.setattr(series_queries.src, "check_manifest", lambda *_: broken)
+    monkeypatch.setattr(series_queries, "stored_series", lambda _: "")
+    assert [tuple(r) for r in QUERIES["check_manifest"](spark, "").collect()] == [(False, None)]
+
+
 def test_the_gate_writes_nothing_of_a_bad_payload(spark, tmp_path):
     span = ("2021-03-01", "2021-03-02")
     good = land(spark, tmp_path)[0]

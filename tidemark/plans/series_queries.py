@@ -186,7 +186,7 @@ def write_gate(t: Tables):
 )
 def check_manifest(t: Tables):
     checked = src.check_manifest(t.spark, stored_series(t), SERIES_D)
-    return checked.select("ok", F.regexp_extract("message", r"^ok: (\d+) rows", 1).cast("long").alias("rows"))
+    return checked.select("ok", F.regexp_extract("message", r"^ok: (\d+) rows", 1).try_cast("long").alias("rows"))
 
 
 # ------------------------------------------------------------------------------- quality

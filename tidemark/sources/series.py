@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..operators.quality import content_hash, problems_of, series_report
 from ..operators.slices import TIME
 from ..schemas import MANIFEST, MEASURES, SERIES, payload_schema
+from ..session import fresh_path
 
 
 def read_series(spark: SparkSession, path: str, schema: T.StructType = SERIES) -> DataFrame:
@@ -94,7 +95,10 @@ def write_series_validated(
     position: str | None = None,
     request: dict[str, str] | None = None,
 ) -> None:
-    """Validate first; raise and write nothing if there is a structural problem.
+    """Validate first; raise and write nothing to ``path`` if there is a structural problem.
+
+    The rows are computed once, into the shared folder, and validated, fingerprinted and stored from there:
+    computed again they may differ, as a sum of doubles follows the order in which its parts arrive.
 
     A version is published in two steps: its records go to a folder of their own, ``path/series-<n>``, then
     its manifest is added to ``path/manifest``.  Readers follow the newest manifest, so until it is there, and
@@ -103,6 +107,9 @@ def write_series_validated(
     ``request`` says what was asked for, such as the place.
     """
     spark = df.sparkSession
+    staged = fresh_path(spark, "staged")
+    df.write.parquet(staged)
+    df = spark.read.schema(df.schema).parquet(staged)
     described = build_manifest(df, units, first, last, freq, time, position)
     row = described.first()  # one row, by construction
     if row["problems"] is not None:
