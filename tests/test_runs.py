@@ -234,6 +234,20 @@ def test_stored_values_keep_whether_they_are_numbers(spark, tmp_path):
     assert src.read_runs(spark, str(tmp_path / "nothing")).count() == 0
 
 
+def test_stored_lines_are_compressed_and_cut(spark, tmp_path, monkeypatch):
+    """Rows that differ as little as those of an evaluation take a fifth of their text or less."""
+    monkeypatch.setitem(src.LINES, "maxRecordsPerFile", "500")
+    rows = spark.range(4_000).coalesce(2).selectExpr("'c' AS config", "concat('q', id % 50) AS question_id", "id AS run_index", "id % 3 = 0 AS correct", "repeat('why ', 20) AS reason")
+    text = sum(len(r["j"]) + 1 for r in rows.select(F.to_json(F.struct("*")).alias("j")).collect())
+    stores = {"runs": src.append_runs, "regraded": src.write_regraded, "traces": src.write_traces}
+    for name, store in stores.items():
+        store(rows, str(tmp_path / name))
+        parts = [p for p in (tmp_path / name).iterdir() if p.name.startswith("part-")]
+        assert len(parts) == 8 and sum(p.stat().st_size for p in parts) < text / 5
+    back = src.read_runs(spark, str(tmp_path / "runs")).select(*rows.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_rankings_break_ties_by_file_order(spark, tmp_path):
     rows = [
         run("easy", True, 0), run("hard", False, 1, reason="off by 5"), run("hard", False, 2, reason="no answer was submitted"),

@@ -12,6 +12,12 @@ from pyspark.sql import types as T
 from ..schemas import RUN_KEY, RUNS_STORED, TRACE
 
 
+# JSON lines repeat the names of their fields in every row, so they are stored compressed.  A compressed file is
+# read by one task: it holds about as many rows as a task reads of plain text.
+ROWS_A_FILE = 100_000
+LINES = {"compression": "gzip", "maxRecordsPerFile": str(ROWS_A_FILE)}
+
+
 def _is_number(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$"), F.lit(False))
 
@@ -49,12 +55,12 @@ def with_answer_columns(raw: DataFrame) -> DataFrame:
 
 def append_runs(runs: DataFrame, path: str) -> None:
     """Append finished runs; each task adds its own file, so no lock is needed."""
-    runs.write.mode("append").json(path)
+    runs.write.mode("append").options(**LINES).json(path)
 
 
 def write_regraded(runs: DataFrame, path: str) -> None:
     """Write regraded rows to a new place; the original is never touched."""
-    runs.write.mode("errorifexists").json(path)
+    runs.write.mode("errorifexists").options(**LINES).json(path)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
@@ -128,7 +134,7 @@ def write_trace_files(traces: DataFrame, path: str) -> None:
 
 
 def write_traces(traces: DataFrame, path: str) -> None:
-    traces.write.mode("append").json(path)
+    traces.write.mode("append").options(**LINES).json(path)
 
 
 def union_done_and_new(done: DataFrame, new: DataFrame) -> DataFrame:
