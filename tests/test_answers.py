@@ -177,6 +177,15 @@ def test_provenance_equals_brute_force(spark):
     assert 100 < len(want) < len(answers) and got == want
 
 
+def test_an_interval_touches_few_cells_none_wider_than_itself(spark):
+    rng = random.Random(3)
+    literals = ["0", "1", "10", "0.5", "-3.25", "1e0", "0e0"] + [f"{rng.uniform(-1, 1) * 10 ** rng.randint(-3, 6):.{rng.randint(0, 7)}f}" for _ in range(500)]
+    df = V.with_interval(spark.createDataFrame([(float(v), v) for v in literals], "v double, literal string"), "v", "literal")
+    ends = df.select("lo", "hi", "level", (V._cell(F.col("hi"), F.col("level")) - V._cell(F.col("lo"), F.col("level"))).alias("n"))
+    for r in ends.collect():
+        assert r["n"] <= 3 and (2.0 ** r["level"] <= r["hi"] - r["lo"] or r["hi"] == r["lo"])
+
+
 EXECUTIONS = (
     "run string, status string, type string, value string, is_nan boolean, is_inf boolean, n_missing int, head string, "
     "repr string, stdout string"

@@ -34,8 +34,8 @@ def execution_blob() -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def evidence_numbers(executions: DataFrame, run: Sequence[str]) -> DataFrame:
-    """(run.., number): every distinct number in evidence, combined on the map side.
+def shown_numbers(executions: DataFrame, run: Sequence[str]) -> DataFrame:
+    """(run.., number): every number in evidence, as often as it is shown.
 
     ``executions`` has status, type, value (text), is_nan, is_inf, n_missing, head, repr, stdout.
     """
@@ -45,7 +45,12 @@ def evidence_numbers(executions: DataFrame, run: Sequence[str]) -> DataFrame:
     ).otherwise(F.array().cast("array<double>"))
     both = F.concat(result, extract_numbers(execution_blob()))
     long = successful(executions).select(*run, F.explode(both).alias("number"))
-    return long.where(F.col("number").isNotNull()).distinct()
+    return long.where(F.col("number").isNotNull())
+
+
+def evidence_numbers(executions: DataFrame, run: Sequence[str]) -> DataFrame:
+    """(run.., number): every distinct number in evidence, combined on the map side."""
+    return shown_numbers(executions, run).distinct()
 
 
 def saw_missing() -> Column:
@@ -112,8 +117,8 @@ def with_interval(df: DataFrame, value: str, literal: str) -> DataFrame:
 
     A literal with d decimals allows half a unit of the last place, an exponent literal one part in
     a million of the observed number; both allow one part in a billion of the observed number.
-    Solving those bounds for the observed number gives the interval.  Cells of a level are between a
-    quarter and half as wide as the interval, which therefore touches at most six of them.
+    Solving those bounds for the observed number gives the interval.  Cells of a level are at most as
+    wide as the interval and at least half as wide, so that it touches at most four of them.
     """
     # Never NULL: otherwise the optimizer would derive null filters and repeat these expressions.
     slack = 1e-9
@@ -131,7 +136,7 @@ def with_interval(df: DataFrame, value: str, literal: str) -> DataFrame:
                 "hi": F.coalesce(above / (1 - relative_ * F.signum(above)), zero),
             }
         )
-        .withColumn("level", F.floor(F.log2(F.greatest(F.col("hi") - F.col("lo"), F.lit(tiny)))) - 1)
+        .withColumn("level", F.floor(F.log2(F.greatest(F.col("hi") - F.col("lo"), F.lit(tiny))) - 1e-9))
         .withColumn("level", F.coalesce(F.col("level").cast("int"), F.lit(0)))
         .drop("_d", "_relative", "_below", "_above")
     )
@@ -159,7 +164,7 @@ def provenance_match(
         .agg(F.min("number").alias("least"), F.max("number").alias("most"))
     )
     ends = {"_first": _cell(F.col("lo"), F.col("level")), "_last": _cell(F.col("hi"), F.col("level"))}
-    steps = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.col("_first") + i)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("_first") + i)
     probes = (
         asked.withColumns(ends)
         .withColumn("cell", F.explode(F.filter(steps, lambda c: c <= F.col("_last"))))
@@ -175,29 +180,35 @@ def provenance_match(
 
 TOGETHER = 256  # texts that are looked for in one pass over an output
 OUTPUTS = 1_024  # outputs of a run that are ordered, or searched, in one task
-TILE = 16_384  # characters of neighbouring outputs that are searched for texts across their seams
+TILE = 16_384  # characters of neighbouring outputs that are searched for texts together
+LONG = 256  # characters of an output that is searched with its neighbours only; of a longer one the ends may be
 
 
-def seams(blobs: DataFrame, run: Sequence[str], position: str, reach: str) -> DataFrame:
-    """(run.., text): stretches of the outputs of a run, joined by spaces, around their seams.
+def is_long(reach: str) -> Column:
+    """Whether the inside of an output is searched apart from the stretches around its ends."""
+    return F.length("blob") > F.greatest(F.col(reach) * 2, F.lit(LONG))
 
-    Every text of up to ``reach + 1`` characters that crosses one or more seams is inside one of them, and each
-    is a piece of the joined text.  Of an output only ``reach`` characters at either end can be part of such a
-    text: a longer output is cut there, its end starts a new segment.  A segment is laid out along its
-    characters and covered by tiles that overlap by ``reach``, so neither a long output nor a run of very many
-    gathers in one task.
+
+def seams(blobs: DataFrame, run: Sequence[str], position: str, reach: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(run.., keep.., text): stretches of the outputs of a run, joined by spaces, around their seams.
+
+    Every text of up to ``reach + 1`` characters in the joined outputs is inside one of them, unless it is inside
+    an output that ``is_long``, and each is a piece of the joined text.  Of a long output only
+    ``reach`` characters at either end can be part of a text across a seam: it is cut there, its end starts a new
+    segment.  A segment is laid out along its characters and covered by tiles that overlap by ``reach``, so neither
+    a long output nor a run of very many gathers in one task.  ``keep`` are columns that are the same in all of
+    a run, whose keys are not NULL.
     """
-    run = list(run)
-    width = F.length("blob")
-    long = width > 2 * F.col(reach)
+    run, keep = list(run), list(keep)
+    long = is_long(reach)
     cut = blobs.select(
-        *run, position, reach, long.alias("_long"),
+        *run, *keep, position, F.col(reach).alias("_reach"), long.alias("_long"),
         F.when(long, F.expr(f"left(blob, {reach})")).otherwise(F.col("blob")).alias("_head"),
         F.when(long, F.expr(f"right(blob, {reach})")).otherwise(F.lit("")).alias("_tail"),
     )
     # A space stands before every output; the first of a run has none before it, which ``_at`` tells.
     size = F.length("_head") + F.length("_tail") + 1
-    placed = running_sums(cut, {"_end": size, "_breaks": F.col("_long").cast("int")}, position, run, OUTPUTS)
+    placed = running_sums(cut, {"_end": size, "_breaks": F.col("_long").cast("int")}, position, run, OUTPUTS, nulls=False)
     at = F.col("_end") - size
     head = F.struct(
         (F.col("_breaks") - F.col("_long").cast("int")).alias("segment"), at.alias("at"),
@@ -205,23 +216,23 @@ def seams(blobs: DataFrame, run: Sequence[str], position: str, reach: str) -> Da
     )
     tail = F.struct(F.col("_breaks").alias("segment"), (at + F.length("_head") + 1).alias("at"), F.col("_tail").alias("text"))
     pieces = placed.select(
-        *run, F.greatest(F.col(reach) * 4, F.lit(TILE)).alias("_tile_size"), F.col(reach).alias("_reach"),
+        *run, *keep, F.greatest(F.col("_reach") * 4, F.lit(TILE)).alias("_tile_size"), "_reach",
         F.explode(F.when(F.col("_long"), F.array(head, tail)).otherwise(F.array(head))).alias("p"),
-    ).select(*run, "_tile_size", "_reach", "p.*")
+    ).select(*run, *keep, "_tile_size", "_reach", "p.*")
     first = F.floor(F.greatest(F.col("at") - F.col("_reach"), F.lit(0)) / F.col("_tile_size"))
     last = F.floor((F.col("at") + F.length("text")) / F.col("_tile_size"))
-    tiles = pieces.withColumn("_tile", F.explode(F.sequence(first, last))).groupBy(*run, "segment", "_tile")
+    tiles = pieces.withColumn("_tile", F.explode(F.sequence(first, last))).groupBy(*run, *keep, "segment", "_tile")
     # At most a tile, its overlap and the pieces at both ends.
-    inside = tiles.agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("_pieces"), F.max("at").alias("_at"))
-    return inside.where(F.col("_at") > 0).select(*run, F.concat_ws("", F.transform("_pieces", lambda p: p["text"])).alias("text"))
+    inside = tiles.agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("_pieces"))
+    return inside.select(*run, *keep, F.concat_ws("", F.transform("_pieces", lambda p: p["text"])).alias("text"))
 
 
 def text_match(answers: DataFrame, blobs: DataFrame, run: Sequence[str], needle: str, position: str) -> DataFrame:
     """Distinct (run.., needle) of ``answers`` whose text occurs in the joined outputs of the run.
 
     ``blobs`` has run.., ``position`` and blob; the outputs of a run are joined by a space in order of position,
-    but never put together: a text is looked for inside every output and in the stretches around
-    their ``seams``.  An empty text occurs in every run that has an output.
+    but never put together: a text is looked for in the stretches around their ``seams``, which hold short outputs
+    whole, and inside every long output.  An empty text occurs in every run that has an output.
 
     The distinct texts of a run are dealt into lists of about ``TOGETHER``, its outputs into shares of about
     ``OUTPUTS``; a share meets the lists of its run, so a run with very many outputs is searched by many
@@ -240,11 +251,11 @@ def text_match(answers: DataFrame, blobs: DataFrame, run: Sequence[str], needle:
         .agg(F.collect_list(needle).alias("_needles"))
         .select(*run, "_needles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1)).alias("_share"))
     )
-    known = blobs.join(per_run, run)
-    inside = known.select(*run, "_shares", F.lower("blob").alias("_text"))
-    across = seams(known.withColumn("blob", F.lower("blob")), run, position, "_reach")
-    across = across.join(sizes, run).select(*run, "_shares", F.col("text").alias("_text"))
-    texts = inside.unionByName(across).withColumn("_share", F.pmod(F.xxhash64("_text"), F.col("_shares"))).drop("_shares")
+    lowered = blobs.select(*run, position, F.lower("blob").alias("blob"))
+    inside = lowered.where(F.length("blob") > LONG).join(per_run, run).where(is_long("_reach"))
+    around = seams(lowered.join(per_run, run), run, position, "_reach", ["_shares"])
+    texts = inside.select(*run, "_shares", F.col("blob").alias("_text")).unionByName(around.withColumnRenamed("text", "_text"))
+    texts = texts.withColumn("_share", F.pmod(F.xxhash64("_text"), F.col("_shares"))).drop("_shares")
     held = F.filter("_needles", lambda n: F.contains(F.col("_text"), n))
     return texts.join(dealt, [*run, "_share"]).select(*run, F.explode(held).alias(needle)).distinct()
 
@@ -349,20 +360,24 @@ def attach_evidence(answers: DataFrame, executions: DataFrame, run: Sequence[str
     ``position`` is a unique whole number that orders the executions of a run.
     """
     run = list(run)
-    keyed = answers.withColumn(
-        "_number", F.when(F.col("answer_is_number"), F.col("answer_value").try_cast("double"))
-    ).withColumn("_needle", F.when(~F.col("answer_is_number"), F.lower(strip(F.col("answer_value")))))
-    by_number = provenance_match(keyed, evidence_numbers(executions, run), run, "_number", "literal").withColumn(
-        "_hit_number", F.lit(True)
+    number = F.when(F.col("answer_is_number"), F.col("answer_value").try_cast("double"))
+    text = F.when(F.col("_number").isNotNull(), F.col("literal")).when(
+        ~F.col("answer_is_number"), F.lower(strip(F.col("answer_value")))
     )
-    by_text = text_match(keyed, outputs(executions, run, position), run, "_needle", position)
-    by_text = by_text.withColumn("_hit_text", F.lit(True))
+    keyed = answers.withColumn("_number", number).withColumn("_text", text)
+    by_number = provenance_match(keyed, evidence_numbers(executions, run), run, "_number", "_text")
+    texts = keyed.where(~F.col("answer_is_number"))
+    by_text = text_match(texts, outputs(executions, run, position), run, "_text", position)
+    # What is found, numbers as written and texts, meets the answers in one join; a text has no number.
+    found = by_number.unionByName(by_text.withColumn("_number", F.lit(None).cast("double")))
+    found = found.select(*[F.col(k).alias(f"_f_{k}") for k in run], F.col("_number").alias("_f_number"), F.col("_text").alias("_f_text"))
+    same = [F.col(k) == F.col(f"_f_{k}") for k in run]
+    same += [F.col("_number").eqNullSafe(F.col("_f_number")), F.col("_text") == F.col("_f_text")]
+    flagged = keyed.join(evidence_flags(executions, run), run, "left")
     return (
-        keyed.join(evidence_flags(executions, run), run, "left")
-        .join(by_number, [*run, "_number", "literal"], "left")
-        .join(by_text, [*run, "_needle"], "left")
-        .withColumn("provenance_found", F.coalesce("_hit_number", "_hit_text", F.lit(False)))
-        .drop("_number", "_needle", "_hit_number", "_hit_text")
+        flagged.join(found, same, "left")
+        .withColumn("provenance_found", F.col("_f_text").isNotNull())
+        .drop("_number", "_text", "_f_number", "_f_text", *[f"_f_{k}" for k in run])
     )
 
 
